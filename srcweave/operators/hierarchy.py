@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from srcweave.session import Scratch
 
-BLANKS = " \t\n\r\u000b\f 　"
+BLANKS = " \t\n\r\u000b\f\u00a0\u3000"
 CYCLE = "cycle"
 SEP = "\u001f"
 

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-CLEAN = "nullif(lower(trim({}, E' \\t\\n\\r\\x0b\\x0c\\u00a0\\u3000')), '')"
+CLEAN = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(12288))), '')"
 LINKS_SQL = f"""
 pairs AS (SELECT DISTINCT {CLEAN.format('id')} AS id, {CLEAN.format('parent_id')} AS parent FROM chunks WHERE {CLEAN.format('id')} IS NOT NULL),
 links AS (SELECT p.id, min(k.id) AS parent FROM pairs p LEFT JOIN (SELECT DISTINCT id FROM pairs) k ON p.parent = k.id GROUP BY p.id),
