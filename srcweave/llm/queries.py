@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import encode, neardup, neighbours, packing
+from srcweave.llm import encode, neardup, neighbours, packing, provenance, syntax
 from srcweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,31 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def _file_rows(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").where("chunk_type = 'file'")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.broken_files(_file_rows(spark, sf))
+
+
+@query("p4_rates")
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken files, all files and their rate per repository and language."""
+    broken = p4_found(spark, sf).withColumn("broken", F.lit(1))
+    files = table(spark, sf, "files").select("file_id", "repo", "language").distinct()
+    rates = files.join(broken, "file_id", "left").groupBy("repo", "language").agg(F.count("*").alias("files"), F.count("broken").alias("broken"))
+    return rates.withColumn("rate", F.round(F.col("broken") / F.col("files"), 6))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = _file_rows(spark, sf)
+    versions = table(spark, sf, "file_versions").select("file_id", F.col("relative_path").alias("path"))
+    return provenance.foreign_files(chunks, [versions, chunks.select("file_id", F.regexp_replace(F.replace("file_path", F.lit("\\"), F.lit("/")), "^/srv/repos/[^/]+/", "").alias("path"))])
+
+
+@query("p2_hand_written")
+def p2_hand_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The files left: hand-written source only, per repository and language."""
+    files = table(spark, sf, "files").select("file_id", "repo", "language").distinct()
+    return files.join(p2_found(spark, sf), "file_id", "left_anti").groupBy("repo", "language").agg(F.count("*").alias("files"))
