@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcweave.session import Scratch
+
 DIMS, MISS, SEED = 10, 0.003, 20_240_501
-LEAF, BUCKET, QUERIES_PER_TASK = 4_096, 64, 65_536
+LEAF, BUCKET, QUERIES_PER_TASK = 16_384, 64, 65_536
 #: Rows of a collection that the upper tree is fitted on; every row is indexed.
 SAMPLE = 4_096
 
@@ -54,10 +56,10 @@ def unit(rows: pd.Series) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, width: int, id_col: str, group_col: str, vector_col: str) -> DataFrame:
-    """(collection, id, v) of the rows with ``width`` finite numbers, not all zero; one row per id."""
+    """(collection, id, h1, h2, v) of the rows with ``width`` finite numbers, not all zero; h1 and h2 stand for v."""
     v = F.col(vector_col)
     ok = F.col(id_col).isNotNull() & (F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(ok).groupBy(F.coalesce(F.col(group_col), F.lit("")).alias("collection"), F.col(id_col).alias("id")).agg(F.min(v).alias("v"))
+    return vectors.where(ok).select(F.coalesce(F.col(group_col), F.lit("")).alias("collection"), F.col(id_col).alias("id"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"), v.alias("v"))
 
 
 def upper_tree(points: np.ndarray, depth: int) -> tuple[list[int], list[float]]:
@@ -146,73 +148,96 @@ def top_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.85, width: i
     """(collection, id, neighbour, similarity, rank): each vector's k most similar with cosine >= ``least``.
 
     Only vectors with ``width`` finite numbers, not all zero, take part; repeated ids count once
-    (the smallest vector of an id); a null collection is the collection ''. Equal similarities rank by id.
-    Vectors that are equal number for number form a class that is searched once: its k + 1 smallest
-    ids stand for it as neighbours, which is exact, as larger ids can't rank before them.
-    ``queries`` is an optional condition on the id column for which rows to search.
+    (of different vectors of an id, the one with the smallest hash); a null collection is the
+    collection ''. Equal similarities rank by id. Vectors that are equal number for number form a
+    class that is searched once: its k + 1 smallest ids stand for it as neighbours, which is exact,
+    as larger ids can't rank before them. ``queries`` is an optional condition on the id column for
+    which rows to search.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, width, id_col, group_col, vector_col).select("collection", "id", "v")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
-    firsts = salted.withColumn("n", F.row_number().over(Window.partitionBy("collection", "v", "salt").orderBy("id"))).where(F.col("n") <= k + 1)
-    classes = firsts.groupBy("collection", "v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("rep", F.col("ids")[0])
-
-    counts = classes.groupBy("collection").agg(F.count("*").alias("n"))
-    sample = classes.withColumn("n", F.row_number().over(Window.partitionBy("collection", F.pmod(F.xxhash64("rep"), F.lit(16))).orderBy(F.xxhash64("rep", F.lit(7))))).where(F.col("n") <= SAMPLE // 16)
+    rows = usable(vectors, width, id_col, group_col, vector_col)
+    keys = ["collection", "id", "h1", "h2"]
+    scratch = Scratch(spark)
+    picked = scratch.keep(rows.groupBy("collection", "id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("collection", "id", "h.h1", "h.h2"))
+    # the k + 1 smallest ids of each class, first by salt, as a class may be large
+    salted = picked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
+    firsts = salted.withColumn("n", F.row_number().over(Window.partitionBy("collection", "h1", "h2", "salt").orderBy("id"))).where(F.col("n") <= k + 1)
+    classes = scratch.keep(firsts.groupBy("collection", "h1", "h2").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("rep", F.col("ids")[0]))
+    others = rows.select(keys).distinct().join(classes.select("collection", F.col("rep").alias("id"), "h1", "h2"), keys, "left_anti")
+    several = scratch.keep(classes.where(F.size("ids") > 1).select("collection", "rep", "ids"))
+    searched = rows.join(scratch.keep(others), keys, "left_anti").select("collection", F.col("id").alias("rep"), "v")
+
+    counts = classes.groupBy("collection").agg(F.count("*").alias("total")).where(F.col("total") > LEAF)
+    part = searched.join(F.broadcast(counts), "collection").withColumn("n", F.row_number().over(Window.partitionBy("collection", F.pmod(F.xxhash64("rep"), F.lit(16))).orderBy(F.xxhash64("rep", F.lit(7))))).where(F.col("n") <= SAMPLE // 16)
     stop = chi2_quantile(1 - MISS, DIMS)
     most = 2 - 2 * least
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        depth = max(0, math.ceil(math.log2(max(1, g["total"].iloc[0] / LEAF))))
+        depth = math.ceil(math.log2(max(1, g["total"].iloc[0] / LEAF)))
         dims, vals = upper_tree(unit(g["v"]) @ directions(width), min(depth, int(math.log2(max(2, len(g))))))
         return pd.DataFrame({"collection": [g["collection"].iloc[0]], "total": [g["total"].iloc[0]], "dims": [dims], "vals": [vals]})
 
-    trees_df = sample.join(counts.withColumnRenamed("n", "total"), "collection").where(F.col("total") > LEAF).groupBy("collection").applyInPandas(fit, "collection string, total long, dims array<int>, vals array<double>")
     # 12 bytes per LEAF rows of the collections above one leaf, at most SAMPLE splits each
-    trees = {r["collection"]: (list(r["dims"]), list(r["vals"]), math.ceil(r["total"] / QUERIES_PER_TASK)) for r in trees_df.collect()}
+    trees = {}
+    if not counts.isEmpty():
+        fitted = part.groupBy("collection").applyInPandas(fit, "collection string, total long, dims array<int>, vals array<double>")
+        trees = {r["collection"]: (list(r["dims"]), list(r["vals"]), math.ceil(r["total"] / QUERIES_PER_TASK)) for r in fitted.collect()}
     shared = spark.sparkContext.broadcast(trees)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c, g in b.groupby("collection", sort=False):
                 dims, vals, tasks = shared.value.get(c, ([], [], 1))
+                task = pd.util.hash_array(g["rep"].to_numpy(dtype=object)).astype(np.uint64) % np.uint64(tasks)
+                base = g[["collection", "rep", "ids", "v"]]
+                if not dims:
+                    yield base.assign(leaf=0, task=0, point=True, query=g["wanted"].to_numpy())
+                    continue
                 p = unit(g["v"]) @ directions(width)
-                for is_query, radius in ((False, 0.0), (True, stop * most)):
-                    part = g[g["wanted"]] if is_query else g
-                    if not len(part):
-                        continue
-                    row, leaf = route(p[g["wanted"].to_numpy()] if is_query else p, dims, vals, radius)
-                    out = part.iloc[row][["collection", "rep", "v"]].assign(leaf=leaf, query=is_query)
-                    if is_query:
-                        yield out.assign(task=pd.util.hash_array(out["rep"].to_numpy(dtype=object)).astype(np.uint64) % tasks)
-                    else:
-                        for t in range(tasks):
-                            yield out.assign(task=t)
-
-    wanted = F.lit(True) if queries is None else queries(F.col("rep"))
-    placed = classes.select("collection", "rep", "v", wanted.alias("wanted")).mapInPandas(spread, "collection string, rep string, v array<float>, leaf long, query boolean, task long")
+                home = route(p, dims, vals, 0.0)[1]
+                for t in range(tasks):
+                    yield base.assign(leaf=home, task=t, point=True, query=g["wanted"].to_numpy() & (task == t))
+                row, leaf = route(p, dims, vals, stop * most)
+                away = (leaf != home[row]) & g["wanted"].to_numpy()[row]
+                yield base.iloc[row[away]].assign(leaf=leaf[away], task=task[row[away]].astype(np.int64), point=False, query=True)
+
+    # a class is searched for any of its ids; the condition is applied to its members below
+    wanted = F.lit(True) if queries is None else queries(F.col("rep")) | F.col("ids").isNotNull()
+    placed = searched.join(several, ["collection", "rep"], "left").withColumn("wanted", wanted).mapInPandas(spread, "collection string, rep string, ids array<string>, v array<float>, leaf long, task long, point boolean, query boolean")
 
     def look(g: pd.DataFrame) -> pd.DataFrame:
-        q, x = g[g["query"]], g[~g["query"]]
+        g = g.sort_values(["rep", "point"], ascending=[True, False]).drop_duplicates("rep")
+        q, x = g[g["query"]], g[g["point"]]
         if not len(q) or not len(x):
-            return pd.DataFrame({"collection": [], "rep": [], "other": [], "similarity": []})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("collection", object), ("rep", object), ("other", object), ("similarity", float), ("copies", bool), ("rank", int))})
         qv, xv, r = unit(q["v"]), unit(x["v"]), directions(width)
         qi, xi, d2 = search(qv, qv @ r, xv, xv @ r, k + 1, most, stop)
-        return pd.DataFrame({"collection": q["collection"].iloc[0], "rep": q["rep"].to_numpy()[qi], "other": x["rep"].to_numpy()[xi], "similarity": np.round(1 - d2 / 2, 12)})
-
-    near = placed.groupBy("collection", "leaf", "task").applyInPandas(look, "collection string, rep string, other string, similarity double")
-    near = near.where((F.col("rep") != F.col("other")) & (F.col("similarity") >= least))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("collection", "rep").orderBy(F.desc("similarity"), "other"))).where(F.col("r") <= k)
-    # neighbours as ids: the own class first, then the classes found
-    ids = classes.select("collection", F.col("rep").alias("other"), "ids")
-    own = classes.select("collection", "rep", F.lit(1.0).alias("similarity"), "ids")
-    lists = near.join(ids, ["collection", "other"]).select("collection", "rep", "similarity", "ids").unionByName(own)
-    top = lists.groupBy("collection", "rep").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("similarity")).alias("s"), i.alias("i")))))).alias("near"))
-    members = rows.join(classes.select("collection", "v", "rep"), ["collection", "v"]).select("collection", "id", "rep")
+        # classes become ids; the own class is found as the point itself and counts as similarity 1
+        names, own = x["rep"].to_numpy(), q["rep"].to_numpy()
+        near = pd.DataFrame({"rep": own[qi], "other": names[xi], "similarity": np.round(np.where(own[qi] == names[xi], 1.0, 1 - d2 / 2), 12)})
+        copies = {r: list(i) for r, i in zip(x["rep"], x["ids"]) if i is not None}
+        if copies:
+            near["other"] = [copies.get(o, [o]) for o in near["other"]]
+            near = near.explode("other")
+        near["copies"] = near["rep"].isin(set(q["rep"][q["ids"].notna()]))
+        near = near[(near["similarity"] >= least) & (near["copies"] | (near["rep"] != near["other"]))].sort_values(["rep", "similarity", "other"], ascending=[True, False, True])
+        near["rank"] = near.groupby("rep").cumcount()
+        near = near[near["rank"] < k + near["copies"]]
+        name = np.full(len(near), q["collection"].iloc[0], dtype=object)
+        return pd.DataFrame({"collection": name, "rep": near["rep"].to_numpy(dtype=object), "other": near["other"].to_numpy(dtype=object), **{c: near[c].to_numpy() for c in ("similarity", "copies", "rank")}})
+
+    near = placed.groupBy("collection", "leaf", "task").applyInPandas(look, "collection string, rep string, other string, similarity double, copies boolean, rank int")
+    if trees:
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("collection", "rep").orderBy(F.desc("similarity"), "other")) - 1).where(F.col("rank") < k + F.col("copies").cast("int"))
+    single = near.where("not copies").select("collection", F.col("rep").alias("id"), F.col("other").alias("neighbour"), "similarity", (F.col("rank") + 1).alias("rank"))
+    # every member of a class takes the class's neighbours without itself
+    members = picked.join(classes.where(F.size("ids") > 1).select("collection", "h1", "h2", "rep"), ["collection", "h1", "h2"]).select("collection", "id", "rep")
     if queries is not None:
         members = members.where(queries(F.col("id")))
-    each = members.join(top, ["collection", "rep"]).select("collection", "id", F.posexplode(F.slice(F.filter("near", lambda n: n["i"] != F.col("id")), 1, k)).alias("pos", "n"))
-    return each.select("collection", "id", F.col("n.i").alias("neighbour"), (-F.col("n.s")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+        single = single.where(queries(F.col("id")))
+    lists = near.where("copies").groupBy("collection", "rep").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "similarity"))).alias("near"))
+    each = members.join(lists, ["collection", "rep"]).select("collection", "id", F.posexplode(F.slice(F.filter("near", lambda n: n["other"] != F.col("id")), 1, k)).alias("pos", "n"))
+    return single.unionByName(each.select("collection", "id", F.col("n.other").alias("neighbour"), "n.similarity", (F.col("pos") + 1).alias("rank")))
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, **columns) -> DataFrame:
