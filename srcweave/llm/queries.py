@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import encode, neardup, neighbours, packing, provenance, syntax
+from srcweave.llm import credentials, encode, neardup, neighbours, packing, provenance, syntax
 from srcweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,22 @@ def p2_hand_written(spark: SparkSession, sf: str) -> DataFrame:
     """The files left: hand-written source only, per repository and language."""
     files = table(spark, sf, "files").select("file_id", "repo", "language").distinct()
     return files.join(p2_found(spark, sf), "file_id", "left_anti").groupBy("repo", "language").agg(F.count("*").alias("files"))
+
+
+def _credentials(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "chunks").select("id", "content", "file_path").distinct()
+    return credentials.credentials(chunks, table(spark, sf, "appsettings"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _credentials(spark, sf).select("place", "record_id", "line_no").distinct()
+
+
+@query("p1_redacted")
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, settings = table(spark, sf, "chunks"), table(spark, sf, "appsettings")
+    texts = chunks.select(F.lit("chunk").alias("place"), F.col("id").alias("record_id"), F.col("content").alias("text"))
+    for place, field in (("apikey", "openweatherapi.apikey"), ("defaultconnection", "connectionstrings.defaultconnection")):
+        texts = texts.unionByName(settings.select(F.lit(place).alias("place"), F.col("settings_id").cast("string").alias("record_id"), F.col(field).alias("text")))
+    return credentials.redact(texts, _credentials(spark, sf))
