@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import credentials, encode, neardup, neighbours, packing, provenance, syntax
+from srcweave.llm import credentials, docpairs, encode, neardup, neighbours, packing, provenance, syntax
 from srcweave.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,19 @@ def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
     for place, field in (("apikey", "openweatherapi.apikey"), ("defaultconnection", "connectionstrings.defaultconnection")):
         texts = texts.unionByName(settings.select(F.lit(place).alias("place"), F.col("settings_id").cast("string").alias("record_id"), F.col(field).alias("text")))
     return credentials.redact(texts, _credentials(spark, sf))
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documented functions of the files that are hand-written and parse."""
+    left_out = p2_found(spark, sf).unionByName(p4_found(spark, sf))
+    return docpairs.documented_functions(_file_rows(spark, sf)).join(left_out, "file_id", "left_anti")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf).select("file_id", "line_no").distinct()
+
+
+@query("p5_pairs")
+def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf)
