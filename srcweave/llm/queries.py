@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import credentials, docpairs, encode, neardup, neighbours, packing, provenance, syntax
-from srcweave.session import table
+from srcweave.llm import credentials, docpairs, encode, languages, neardup, neighbours, packing, provenance, syntax
+from srcweave.session import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,3 +136,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p5_pairs")
 def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf)
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = Scratch(spark).keep(languages.identify(table(spark, sf, "documents")))
+    return languages.mislabelled(found).select(F.col("id").alias("doc_id"), "line_no", "lang")
+
+
+@query("p10_stretches")
+def p10_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.identify(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
