@@ -35,7 +35,7 @@ VARS = MOD* TYPE id (lb rb)* (eq INIT)? (comma id (lb rb)* (eq INIT)?)*
 INIT = E | ARRAY
 ARRAY = lc (INIT (comma INIT)*)? comma? rc
 BLOCK = lc STMT* rc
-STMT = BLOCK | semi | VARS semi | TYPEDECL | E semi | if lp E rp STMT (else STMT)? | while lp E rp STMT | do STMT while lp E rp semi | for lp FOR rp STMT | return E? semi | throw E semi | break id? semi | continue id? semi | id colon STMT | try (lp RES (semi RES)* semi? rp)? BLOCK (catch lp MOD* TYPE (bin TYPE)* id rp BLOCK)* (finally BLOCK)? | SWITCH | synchronized lp E rp BLOCK | assert E (colon E)? semi | id E semi
+STMT = BLOCK | semi | VARS semi | TYPEDECL | E semi | if lp E rp STMT (else STMT)? | while lp E rp STMT | do STMT while lp E rp semi | for lp FOR rp STMT | return E? semi | throw E semi | break id? semi | continue id? semi | id colon STMT | try (lp RES (semi RES)* semi? rp)? BLOCK (catch lp MOD* TYPE (bin TYPE)* id rp BLOCK)* (finally BLOCK)? | SWITCH | synchronized lp E rp BLOCK | assert E (colon E)? semi | yield E semi
 RES = VARS | E
 FOR = (VARS | E (comma E)*)? semi E? semi (E (comma E)*)? | MOD* TYPE id colon E
 SWITCH = switch lp E rp lc (LABEL (STMT* | E semi))* rc
@@ -47,7 +47,7 @@ PRE = add | not | tilde | inc | lp TYPE (amp TYPE)* rp
 ATOM = id | num | str | this | super | null | true | false | lp E rp | NEW | LAMBDA | TYPE dot class | void dot class | TYPE pair (id | new) | SWITCH
 NEW = new TARGS? TYPE (ARGS BODY? | (lb E? rb)+ ARRAY?)
 LAMBDA = (id | lp (PARAMS | id (comma id)*)? rp) arrow (E | BLOCK)
-POST = dot TARGS? (id | new | class | this | super) | ARGS | lb E rb | inc | pair TARGS? (id | new)
+POST = dot TARGS? (id | new | class | this | super | yield) | ARGS | lb E rb | inc | pair TARGS? (id | new)
 ARGS = lp (E (comma E)*)? rp
 """
 
@@ -100,10 +100,10 @@ ARG = E | (ref | out | in) (E | TYPE id) | TYPE id
 """
 
 GO = """
-UNIT = package id semi (import (SPEC | lp (SPEC semi?)* rp) semi)* (TOP semi)* TOP?
+UNIT = package id semi (import (SPEC | lp (SPEC semi)* SPEC? rp) semi)* (TOP semi)* TOP?
 SPEC = (dot | id)? str
 TOP = func id TPARAMS? SIG BLOCK? | func lp PARAMS? rp id SIG BLOCK? | DECL
-DECL = var (VSPEC | lp (VSPEC semi?)* rp) | const (VSPEC | lp (VSPEC semi?)* rp) | type (TSPEC | lp (TSPEC semi?)* rp)
+DECL = var (VSPEC | lp (VSPEC semi)* VSPEC? rp) | const (VSPEC | lp (VSPEC semi)* VSPEC? rp) | type (TSPEC | lp (TSPEC semi)* TSPEC? rp)
 VSPEC = IDS TYPE? (eq ES)?
 TSPEC = id TPARAMS? eq? TYPE
 TPARAMS = lb PARAM (comma PARAM)* rb
@@ -112,16 +112,16 @@ SIG = lp PARAMS? rp (TYPE | lp PARAMS? rp)?
 PARAMS = PARAM (comma PARAM)* comma?
 PARAM = IDS? dots? CONSTRAINT
 CONSTRAINT = tilde? TYPE (bin tilde? TYPE)*
-TYPE = id (dot id)? (lb TYPE (comma TYPE)* rb)? | star TYPE | lb (E | dots)? rb TYPE | map lb TYPE rb TYPE | chan chan? TYPE | chan TYPE | func SIG | struct lc (FIELD semi?)* rc | interface lc ((id SIG | CONSTRAINT) semi?)* rc | lp TYPE rp
+TYPE = id (dot id)? (lb TYPE (comma TYPE)* rb)? | star TYPE | lb (E | dots)? rb TYPE | map lb TYPE rb TYPE | chan chan? TYPE | chan TYPE | func SIG | struct lc (FIELD semi)* FIELD? rc | interface lc ((id SIG | CONSTRAINT) semi)* (id SIG | CONSTRAINT)? rc | lp TYPE rp
 FIELD = IDS TYPE str? | star? id (dot id)? str?
-BLOCK = lc STMT* rc
-STMT = S semi? | semi
-S = DECL | SIMPLE | return ES? | break id? | continue id? | goto id | fallthrough | BLOCK | IF | FOR | SWITCH | select lc (COMM colon STMT*)* rc | go E | defer E | id colon STMT
+BLOCK = lc STMT* S? rc
+STMT = S semi | semi
+S = DECL | SIMPLE | return ES? | break id? | continue id? | goto id | fallthrough | BLOCK | IF | FOR | SWITCH | select lc (COMM colon STMT*)* S? rc | go E | defer E | id colon STMT
 COMM = case SIMPLE | default
 SIMPLE = ES ((eq | set | define | chan) ES)? | E inc | ES define range E | ES eq range E
 IF = if (SIMPLE? semi)? E BLOCK (else (IF | BLOCK))?
 FOR = for (E | SIMPLE? semi E? semi SIMPLE? | (ES (define | eq))? range E)? BLOCK
-SWITCH = switch (SIMPLE? semi)? SIMPLE? lc ((case (ES | TYPE (comma TYPE)*) | default) colon STMT*)* rc
+SWITCH = switch (SIMPLE? semi)? SIMPLE? lc ((case (ES | TYPE (comma TYPE)*) | default) colon STMT*)* S? rc
 ES = E (comma E)*
 E = T (OP T)*
 OP = bin | add | amp | star | lt | gt | gt gt | gt eq
@@ -135,91 +135,103 @@ POST = dot id | dot lp (TYPE | type) rp | lb E? (colon E?)? (colon E)? rb | lp (
 """
 
 SCRIPT = """
-UNIT = STMT*
-STMT = BLOCK | semi | VARS semi? | E semi? | E comma E semi? | FUNC | CLASS | IMPORT semi? | EXPORT semi? | if lp ES rp STMT (else STMT)? | while lp ES rp STMT | do STMT while lp ES rp semi? | for await? lp FOR rp STMT | return ES? semi? | throw ES semi? | break id? semi? | continue id? semi? | id colon STMT | try BLOCK (catch (lp BIND rp)? BLOCK)? (finally BLOCK)? | switch lp ES rp lc (CASE STMT*)* rc | debugger semi? | with lp E rp STMT
+UNIT = STMT* TAIL?
+STMT = SIMPLE semi | COMPOUND semi? | semi
+SIMPLE = VARS | ES | IMPORT | EXPORT | return ES? | throw ES | break id? | continue id? | debugger
+COMPOUND = BLOCK | FUNC | CLASS | EXPORTED | if lp ES rp STMT (else STMT)? | while lp ES rp STMT | do STMT while lp ES rp | for await? lp FOR rp STMT | W colon STMT | try BLOCK (catch (lp BIND rp)? BLOCK)? (finally BLOCK)? | switch lp ES rp lc (CASE STMT*)* TAIL? rc | with lp E rp STMT | DECO
+TAIL = SIMPLE | if lp ES rp TAIL | if lp ES rp STMT else TAIL | while lp ES rp TAIL | for lp FOR rp TAIL
+EXPORTED = export default? (FUNC | CLASS)
 CASE = case ES colon | default colon
-BLOCK = lc STMT* rc
+BLOCK = lc STMT* TAIL? rc
 VARS = (var | let | const) BIND (eq E)? (comma BIND (eq E)?)*
 BIND = W | OBJPAT | ARRPAT
 OBJPAT = lc (PROP (comma PROP)* comma?)? rc
 PROP = KEY (colon (BIND | E))? (eq E)? | dots E
-ARRPAT = lb comma* ((dots? BIND (eq E)?) comma*)* rb
+ARRPAT = lb comma* (dots? BIND (eq E)? (comma+ dots? BIND (eq E)?)*)? comma* rb
 FOR = (VARS | ES)? semi ES? semi ES? | (VARS | (var | let | const) BIND | E) (of | in) ES
 ES = E (comma E)*
 FUNC = async? function star? W? lp PARAMS? rp BLOCK
 PARAMS = PARAM (comma PARAM)* comma?
 PARAM = dots? BIND (eq E)?
-CLASS = class id? (extends T)? lc MEMBER* rc
-MEMBER = (static | async | id)* star? KEY lp PARAMS? rp BLOCK | static? KEY (eq E)? semi? | static BLOCK | semi | DECO
-DECO = at id (dot id)* ARGS?
+CLASS = class W? (extends T)? lc MEMBER* FIELD? rc
+MEMBER = (static | async | get | set)* star? KEY lp PARAMS? rp BLOCK | FIELD semi | static BLOCK | semi | DECO
+FIELD = (static)? KEY (eq E)?
+DECO = at ARGS?
 KEY = W | KW | str | num | lb E rb
-KW = await | break | case | catch | class | const | continue | debugger | default | delete | do | else | export | extends | finally | for | function | if | import | in | instanceof | new | return | switch | throw | try | typeof | var | void | while | with | yield | null | true | false | this | super
-W = id | of | async | static | let | await | yield
-IMPORT = import (str | (W (comma (star id id | NAMED))? | NAMED | star id id) id str) ((with | id) lc (KEY colon str comma?)* rc)?
-NAMED = lc ((W | default | str) (id (W | default | str))? comma?)* rc
-EXPORT = export (NAMED (id str)? | star (id W)? id str | default (E | FUNC | CLASS) | VARS | FUNC | CLASS)
+KW = get | set | from | as | await | break | case | catch | class | const | continue | debugger | default | delete | do | else | export | extends | finally | for | function | if | import | in | instanceof | new | return | switch | throw | try | typeof | var | void | while | with | yield | null | true | false | this | super
+W = id | of | async | static | let | await | yield | get | set | from | as
+IMPORT = import (str | (W (comma (star as W | NAMED))? | NAMED | star as W) from str) ((with | id) lc (KEY colon str (comma KEY colon str)* comma?)? rc)?
+NAMED = lc (NAME1 (comma NAME1)* comma?)? rc
+NAME1 = (W | default | str) (as (W | default | str))?
+EXPORT = export (NAMED (from str)? | star (as W)? from str | default E | VARS)
 E = T (OP T)* (q E colon E)? | ARROW | yield star? E?
 OP = bin | add | amp | star | lt | gt | gt gt | gt gt gt | gt eq | eq | set | in | instanceof
 T = PRE* ATOM POST*
 PRE = add | not | tilde | inc | typeof | void | delete | await | new | dots
 ATOM = W | num | str | this | super | null | true | false | lp ES rp | OBJ | ARR | FUNC | CLASS | import lp E rp | import dot id | new dot id | ARROW
 OBJ = lc (OPROP (comma OPROP)* comma?)? rc
-OPROP = KEY colon E | W | dots E | (async | id)* star? KEY lp PARAMS? rp BLOCK | W eq E
-ARR = lb comma* ((dots? E) comma*)* rb
+OPROP = KEY colon E | W | dots E | (async | get | set)* star? KEY lp PARAMS? rp BLOCK | W eq E
+ARR = lb comma* (dots? E (comma+ dots? E)*)? comma* rb
 ARROW = async? (W | lp PARAMS? rp) arrow (E | BLOCK)
 POST = dot (W | KW) | dot ARGS | dot lb ES rb | ARGS | lb ES rb | inc | str
 ARGS = lp (dots? E (comma dots? E)*)? comma? rp
 """
 
 TYPES = """
-STMT = (declare | abstract | export | DECO | default)* (interface W TPARAMS? (extends TYPE (comma TYPE)*)? OBJT | type W TPARAMS? eq TYPE semi? | const? enum W lc ((KEY) (eq E)? comma?)* rc | (namespace | id) (W (dot W)* | str) BLOCK | abstract class W | TCLASS | TFUNC semi? | DECO) | import type? (W | NAMED | star id id) id str | import type NAMED id str | export type NAMED (id str)? | VARST semi? | import W eq E
+COMPOUND = (declare | abstract | export | DECO | default)* (interface W TPARAMS? (extends TYPE (comma TYPE)*)? OBJT | const? enum W lc (ENUM1 (comma ENUM1)* comma?)? rc | (namespace | module | global) (W (dot W)* | str)? BLOCK | TCLASS | TFUNC)
+SIMPLE = (declare | export | default)* (type W TPARAMS? eq TYPE | VARST | TSIG) | import type? (W | NAMED | star as W) from str | import type NAMED from str | export type NAMED (from str)? | import W eq E
+ENUM1 = KEY (eq E)?
 VARST = (var | let | const) TBIND (eq E)? (comma TBIND (eq E)?)* | (var | let | const) TBIND (of | in) ES
 TBIND = BIND not? (colon TYPE)?
 TPARAMS = lt const? W (extends TYPE)? (eq TYPE)? (comma W (extends TYPE)? (eq TYPE)?)* comma? gt
 TARGS = lt TYPE (comma TYPE)* gt
-TFUNC = async? function star? W? TPARAMS? lp TPARAMLIST? rp RET? BLOCK?
-RET = colon (TYPE | asserts | W is TYPE | this is TYPE)
-asserts = W W (is TYPE)?
+TSIG = async? function star? W? TPARAMS? lp TPARAMLIST? rp RET?
+TFUNC = TSIG BLOCK
+RET = colon (TYPE | ASSERTS | W is TYPE | this is TYPE)
+ASSERTS = asserts W (is TYPE)?
 TPARAMLIST = TPARAM (comma TPARAM)* comma?
 TPARAM = DECO* MODT* dots? (BIND | this) q? (colon TYPE)? (eq E)?
-MODT = public | private | protected | readonly | static | abstract | declare | async | id
-TCLASS = class W? TPARAMS? (extends T TARGS?)? (implements TYPE (comma TYPE)*)? lc TMEMBER* rc
-TMEMBER = (DECO | MODT)* star? KEY (q | not)? TPARAMS? lp TPARAMLIST? rp RET? (BLOCK | semi) | (DECO | MODT)* KEY (q | not)? (colon TYPE)? (eq E)? semi? | MODT* lb W colon TYPE rb colon TYPE semi?
+MODT = public | private | protected | readonly | static | abstract | declare | async | override | accessor | out | in | get | set
+TCLASS = class W? TPARAMS? (extends T TARGS?)? (implements TYPE (comma TYPE)*)? lc TMEMBER* TFIELD? rc
+TMEMBER = (DECO | MODT)* star? KEY (q | not)? TPARAMS? lp TPARAMLIST? rp RET? (BLOCK | semi) | TFIELD semi | semi
+TFIELD = (DECO | MODT)* KEY (q | not)? (colon TYPE)? (eq E)? | MODT* lb W colon TYPE rb colon TYPE
 TYPE = UNARY ((bin | amp) UNARY)* (extends TYPE q TYPE colon TYPE)? | (bin | amp) TYPE | new? TPARAMS? lp TPARAMLIST? rp arrow (TYPE | W is TYPE)
-UNARY = (keyof | readonly | typeof | infer | id)? PRIMARY (lb TYPE? rb)* (lb TYPE rb)*
-PRIMARY = W (dot W)* TARGS? | str | num | add num | null | true | false | void | this | lp TYPE rp | OBJT | lb ((dots? (W q? colon)? TYPE q?) comma?)* rb | import lp str rp (dot W)* | typeof W (dot W)*
-OBJT = lc ((readonly | add readonly | id)* (KEY q? (colon TYPE)? | KEY? q? TPARAMS? lp TPARAMLIST? rp RET? | lb W (colon | in) TYPE (as TYPE)? rb (add? q)? colon TYPE | new lp TPARAMLIST? rp RET?) (semi | comma)?)* rc
-W = type | as | is | declare | namespace | abstract | keyof | infer | readonly
+UNARY = (keyof | readonly | typeof | infer | unique)? PRIMARY (lb TYPE? rb)* (lb TYPE rb)*
+PRIMARY = W (dot W)* TARGS? | str | num | add num | null | true | false | void | this | lp TYPE rp | OBJT | lb (TUP (comma TUP)* comma?)? rb | import lp str rp (dot W)* | typeof W (dot W)*
+TUP = dots? (W q? colon)? TYPE q?
+OBJT = lc (OBJ1 ((semi | comma) OBJ1)* (semi | comma)?)? rc
+OBJ1 = (readonly | add readonly | get | set)* (KEY q? (colon TYPE)? | KEY? q? TPARAMS? lp TPARAMLIST? rp RET? | lb W (colon | in) TYPE (as TYPE)? rb (add? q)? colon TYPE | new lp TPARAMLIST? rp RET?)
+W = type | as | is | declare | namespace | abstract | keyof | infer | readonly | override | asserts | satisfies | module | global | accessor | unique | out
 KW = enum | implements | interface | private | protected | public
-E = T as (TYPE | const) | T id TYPE | T not | lt TYPE gt T | TFUNC | TARROW | TCLASS
+E = T as (TYPE | const) | T satisfies TYPE | T not | lt TYPE gt T | TFUNC | TARROW | TCLASS
 TARROW = async? TPARAMS? lp TPARAMLIST? rp RET? arrow (E | BLOCK)
 POST = not | TARGS ARGS | TARGS
-OPROP = (async | id)* star? KEY TPARAMS? lp TPARAMLIST? rp RET? BLOCK
+OPROP = (async | get | set)* star? KEY TPARAMS? lp TPARAMLIST? rp RET? BLOCK
 ATOM = TFUNC | TCLASS | TARROW
 PARAMS = TPARAMLIST
-NAMED = lc (type? (W | default) (as W | as default)? comma?)* rc
-IMPORT = star as W
+NAME1 = type (W | default) (as W | as default)?
 """
 
 PYTHON = """
+NAME = id | match | case | type
 UNIT = nl* STMT*
 STMT = SIMPLE (semi SIMPLE)* semi? nl | COMPOUND
-SIMPLE = STARS ((eq | set) (YIELD | STARS))* | TARGET colon E (eq (STARS | YIELD))? | pass | break | continue | return STARS? | raise (E (from E)?)? | global id (comma id)* | nonlocal id (comma id)* | del STARS | assert E (comma E)? | import DOTTED (as id)? (comma DOTTED (as id)?)* | from (dot | dots)* DOTTED? import (star | NAMES | lp NAMES comma? rp) | YIELD | id id (eq E)?
+SIMPLE = STARS ((eq | set) (YIELD | STARS))* | TARGET colon E (eq (STARS | YIELD))? | pass | break | continue | return STARS? | raise (E (from E)?)? | global id (comma id)* | nonlocal id (comma id)* | del STARS | assert E (comma E)? | import DOTTED (as id)? (comma DOTTED (as id)?)* | from (dot | dots)* DOTTED? import (star | NAMES | lp NAMES comma? rp) | YIELD | type id TPARAMS? eq E
 YIELD = yield (from E | STARS)?
-TARGET = id | T | lp T rp
-NAMES = id (as id)? (comma id (as id)?)*
-DOTTED = id (dot id)*
+TARGET = NAME | T | lp T rp
+NAMES = NAME (as NAME)? (comma NAME (as NAME)?)*
+DOTTED = NAME (dot NAME)*
 BLOCK = nl STMT+ | SIMPLE (semi SIMPLE)* semi? nl
-COMPOUND = (at E nl)* (async? def id TPARAMS? lp PARAMS? rp (arrow E)? colon BLOCK | class id TPARAMS? (lp ARGS? rp)? colon BLOCK) | async? for STARS in STARS colon BLOCK (else colon BLOCK)? | while E colon BLOCK (else colon BLOCK)? | if E colon BLOCK (elif E colon BLOCK)* (else colon BLOCK)? | try colon BLOCK (except star? (E (as id)?)? colon BLOCK)* (else colon BLOCK)? (finally colon BLOCK)? | async? with (WITEM (comma WITEM)* | lp WITEM (comma WITEM)* comma? rp) colon BLOCK | id STARS colon nl (id PATTERN (if E)? colon BLOCK)+
+COMPOUND = (at E nl)* (async? def NAME TPARAMS? lp PARAMS? rp (arrow E)? colon BLOCK | class id TPARAMS? (lp ARGS? rp)? colon BLOCK) | async? for STARS in STARS colon BLOCK (else colon BLOCK)? | while E colon BLOCK (else colon BLOCK)? | if E colon BLOCK (elif E colon BLOCK)* (else colon BLOCK)? | try colon BLOCK (except star? (E (as id)?)? colon BLOCK)* (else colon BLOCK)? (finally colon BLOCK)? | async? with (WITEM (comma WITEM)* | lp WITEM (comma WITEM)* comma? rp) colon BLOCK | match STARS colon nl (case PATTERN (if E)? colon BLOCK)+
 WITEM = E (as T)?
-PATTERN = STARS (as id)? | T bin T | star id | lc (E colon PATTERN comma?)* rc
+PATTERN = STARS (as id)? | T bin T | star id | lc (E colon PATTERN (comma E colon PATTERN)* comma?)? rc
 TPARAMS = lb id (colon E)? (comma id (colon E)?)* rb
 PARAMS = PARAM (comma PARAM)* comma?
-PARAM = id (colon E)? (eq E)? | star (id (colon E)?)? | bin id (colon E)?
+PARAM = NAME (colon E)? (eq E)? | star (NAME (colon E)?)? | bin NAME (colon E)?
 ARGS = ARG (comma ARG)* comma?
-ARG = id eq E | star E | bin E | E | E COMP
+ARG = NAME eq E | star E | bin E | E | E COMP
 STARS = star? E (comma star? E)* comma?
-E = LAMBDA | D (if D else E)? | id WALRUS E
+E = LAMBDA | D (if D else E)? | NAME WALRUS E
 WALRUS = define
 D = C ((and | or) C)*
 C = not* A (CMP A)*
@@ -228,11 +240,11 @@ A = T (OP T)*
 OP = bin | add | star | amp | gt gt | at
 T = PRE* ATOM POST*
 PRE = add | tilde | await | not
-ATOM = id | num | str+ | True | False | None | dots | lp (STARS | YIELD | E COMP)? rp | lb (STARS | E COMP)? rb | lc ((DICT | STARS) | E COMP | E colon E COMP)? rc
+ATOM = NAME | num | str+ | True | False | None | dots | lp (STARS | YIELD | E COMP)? rp | lb (STARS | E COMP)? rb | lc ((DICT | STARS) | E COMP | E colon E COMP)? rc
 DICT = (E colon E | bin E) (comma (E colon E | bin E))* comma?
 COMP = (async? for STARS in D | if D)+
 LAMBDA = lambda PARAMS? colon E
-POST = dot id | lp ARGS? rp | lb SLICES rb
+POST = dot NAME | lp ARGS? rp | lb SLICES rb
 SLICES = SLICE (comma SLICE)* comma?
 SLICE = E | star E | E? colon E? (colon E?)?
 """

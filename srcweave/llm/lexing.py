@@ -15,11 +15,11 @@ KINDS = {
 }
 
 WORDS = {
-    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
+    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type",
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
-    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null",
-    "javascript": "await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield let static async of",
-    "typescript": "await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield let static async of enum implements interface private protected public readonly abstract declare type keyof as is infer namespace",
+    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null yield",
+    "javascript": "await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield let static async of get set from as",
+    "typescript": "await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield let static async of enum implements interface private protected public readonly abstract declare type keyof as is infer namespace get set from override asserts satisfies module global accessor unique out",
     "csharp": "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while where when",
 }
 
@@ -34,7 +34,7 @@ PATTERNS = {
     "python": r"#[^\n]*|(?:[rRbBuUfF]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|" + _NUM + r"[jJ]?(?!\w)|" + _ID + r"|\\\n|\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=|\n[ \t\f]*|[^\s]",
     "go": _LINE + r"|`[^`]*`|" + _DQ + r"|'(?:[^'\\\n]|\\.[0-9a-fA-F]*)'|" + _NUM + r"i?(?!\w)|" + _ID + r"|&\^=|<<=|>>=|\.\.\.|:=|<-|\+\+|--|&&|\|\||==|!=|<=|>=|&\^|<<|>>|[-+*/%&|^]=|" + _TAIL,
     "java": _LINE + r'|"""(?:[^\\]|\\.)*?"""|' + _DQ + r"|'(?:[^'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'|" + _NUM + r"[lLfFdD]?(?!\w)|[^\W\d$]?[\w$]+|>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|<<|[-+*/%&|^]=|[^\s]",
-    "javascript": _LINE + r"|`(?:[^`\\]|\\.)*`|" + _DQ + r"|'(?:[^'\\\n]|\\.)*'|(?<=[=(,:\[!&|?{};\n])[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|" + _NUM + r"n?(?![\w$])|#?[^\W\d]?[\w$]+|>>>=|\*\*=|&&=|\|\|=|\?\?=|<<=|>>=|===|!==|\.\.\.|=>|\?\.|\?\?|\+\+|--|&&|\|\||==|!=|<=|>=|\*\*|<<|[-+*/%&|^]=|" + _TAIL,
+    "javascript": _LINE + r"|@[A-Za-z_$][\w.$]*|`(?:[^`\\]|\\.)*`|" + _DQ + r"|'(?:[^'\\\n]|\\.)*'|(?<=[=(,:\[!&|?{};\n])[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|" + _NUM + r"n?(?![\w$])|#?[^\W\d]?[\w$]+|>>>=|\*\*=|&&=|\|\|=|\?\?=|<<=|>>=|===|!==|\.\.\.|=>|\?\.|\?\?|\+\+|--|&&|\|\||==|!=|<=|>=|\*\*|<<|[-+*/%&|^]=|" + _TAIL,
     "csharp": _LINE + r'|^[ \t]*#[a-z][^\n]*|"""(?:[^"]|"(?!""))*"""|(?:\$@|@\$|@)"(?:[^"]|"")*"|\$?' + _DQ + r"|'(?:[^'\\\n]|\\[xuU][0-9a-fA-F]+|\\.)'|" + _NUM + r"[lLuUfFdDmM]{0,2}(?!\w)|@?" + _ID + r"|\?\?=|<<=|>>=|\?\.|\?\?|=>|::|\+\+|--|&&|\|\||==|!=|<=|>=|<<|\.\.|[-+*/%&|^]=|[^\s]",
 }
 PATTERNS["typescript"] = PATTERNS["javascript"]
@@ -82,7 +82,7 @@ class Kinds(dict):
         elif c.isalpha() or c in "_$" or c in "@#" and len(t) > 1:
             if self.language == "csharp" and c == "#":
                 return ""
-            k = "i" if all(x.isalnum() or x in "_$@#" for x in t) else "X"
+            k = "@" if c == "@" and self.language in ("javascript", "typescript") else "i" if all(x.isalnum() or x in "_$@#" for x in t) else "X"
         elif c == "/" or t.lstrip(" \t")[:1] == "/" and len(t) > 2:
             return "s"  # regular expression
         elif self.language == "csharp" and t.lstrip(" \t")[:1] == "#" and len(t) > 1:
@@ -120,6 +120,6 @@ def semicolons(language: str, s: str) -> str:
         s = re.sub(f"(?<=[{re.escape(end)}])\n+", ";", s)
         return s.replace("\n", "")
     end = "ins)]}u>" + "".join(w[x] for x in ("break", "continue", "return", "this", "true", "false", "null", "super", "debugger", "void", "of", "static", "async") if x in w) + "".join(w[x] for x in ("type", "as", "is", "declare", "namespace", "abstract", "readonly") if x in w)
-    stop = "ins([{@!u~D+*" + "".join(c for x, c in w.items() if x not in ("in", "instanceof", "of", "extends", "implements", "as", "is"))
+    stop = "ins([{@!u~D+*" + "".join(c for x, c in w.items() if x not in ("in", "instanceof", "of", "extends", "implements", "as", "is", "else", "catch", "finally", "from", "satisfies"))
     s = re.sub(f"(?<=[{re.escape(end)}])\n+(?=[{re.escape(stop)}}}])", ";", s)
     return s.replace("\n", "")

@@ -48,12 +48,15 @@ def _windows(language: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     if language in ("java", "csharp"):
         block += [r"iP[ins]", r"(?:^|[;R])ii\.", r"iii", r"[;R](?:i\.)*i[ns]"]
         paren += [r"iP[ins]"]
+    if language == "java":
+        never += [r"[=a+o?!]ii"]
+    if language == "go":
+        never += [r"[=do+!]ii"]
     if language in ("javascript", "typescript"):
         block += [r"iP[ins]"]
     if language == "javascript":
         let = _w(language, "let", "const", "var")
         block += [rf"[{let}]i:", r"i[:!]=", r"(?:^|[;R])i:i="]
-        block += [rf"(?<![{_w(language, 'import')}i*A])ii(?![Ps(*])(?!iP)"]
         paren += [r"^[^?]*i:[^?]*$", r"^D?i\?"]
     return re.compile("|".join(never + paren)), re.compile("|".join(never)), re.compile("|".join(never + block))
 
@@ -95,7 +98,7 @@ _PY = re.compile(r"[()\[\]{}\n]")
 def python_lines(toks: list[str]) -> tuple[str, bool]:
     """The class string with one newline per logical line, and whether indentation is broken."""
     k = kinds("python")
-    heads, colon, soft = {k.words[h] for h in _HEADS} | {k.words["async"]}, ":", "i"
+    heads, colon, soft = {k.words[h] for h in _HEADS} | {k.words["async"]}, ":", (k.words["match"], k.words["case"])
     out: list[str] = []
     depth, stack, bad = 0, [0], False
     line: list[str] = []
@@ -115,7 +118,7 @@ def python_lines(toks: list[str]) -> tuple[str, bool]:
                             stack.pop()
                         bad |= width != stack[-1]
                     head = first in heads
-                    opens = last == colon and (head or first == soft)
+                    opens = last == colon and (head or first in soft)
                     if head and not opens and colon not in line:
                         bad = True
                     out += line
