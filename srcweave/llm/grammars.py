@@ -112,13 +112,13 @@ SIG = lp PARAMS? rp (TYPE | lp PARAMS? rp)?
 PARAMS = PARAM (comma PARAM)* comma?
 PARAM = IDS? dots? CONSTRAINT
 CONSTRAINT = tilde? TYPE (bin tilde? TYPE)*
-TYPE = id (dot id)? (lb TYPE (comma TYPE)* rb)? | star TYPE | lb (E | dots)? rb TYPE | map lb TYPE rb TYPE | chan chan? TYPE | chan TYPE | func SIG | struct lc (FIELD semi)* FIELD? rc | interface lc ((id SIG | CONSTRAINT) semi)* (id SIG | CONSTRAINT)? rc | lp TYPE rp
+TYPE = id (dot id)? (lb TYPE (comma TYPE)* rb)? | star TYPE | lb (E | dots)? rb TYPE | map lb TYPE rb TYPE | chan recv? TYPE | recv chan TYPE | func SIG | struct lc (FIELD semi)* FIELD? rc | interface lc ((id SIG | CONSTRAINT) semi)* (id SIG | CONSTRAINT)? rc | lp TYPE rp
 FIELD = IDS TYPE str? | star? id (dot id)? str?
 BLOCK = lc STMT* S? rc
 STMT = S semi | semi
 S = DECL | SIMPLE | return ES? | break id? | continue id? | goto id | fallthrough | BLOCK | IF | FOR | SWITCH | select lc (COMM colon STMT*)* S? rc | go E | defer E | id colon STMT
 COMM = case SIMPLE | default
-SIMPLE = ES ((eq | set | define | chan) ES)? | E inc | ES define range E | ES eq range E
+SIMPLE = ES ((eq | set | define | recv) ES)? | E inc | ES define range E | ES eq range E
 IF = if (SIMPLE? semi)? E BLOCK (else (IF | BLOCK))?
 FOR = for (E | SIMPLE? semi E? semi SIMPLE? | (ES (define | eq))? range E)? BLOCK
 SWITCH = switch (SIMPLE? semi)? SIMPLE? lc ((case (ES | TYPE (comma TYPE)*) | default) colon STMT*)* S? rc
@@ -126,7 +126,7 @@ ES = E (comma E)*
 E = T (OP T)*
 OP = bin | add | amp | star | lt | gt | gt gt | gt eq
 T = PRE* ATOM POST*
-PRE = add | not | amp | star | chan | bin
+PRE = add | not | amp | star | recv | bin
 ATOM = id | num | str | lp E rp | func SIG BLOCK | TYPE LIT | TYPE lp E rp | lp TYPE rp
 LIT = lc (KV (comma KV)* comma?)? rc
 KV = (EL colon)? EL

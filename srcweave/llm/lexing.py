@@ -11,7 +11,7 @@ import re
 #: Kinds of tokens and their characters; keywords get characters of their own after these.
 KINDS = {
     "id": "i", "num": "n", "str": "s", "bin": "o", "add": "+", "amp": "&", "star": "*", "inc": "u", "not": "!", "set": "a", "eq": "=", "lt": "<", "gt": ">", "q": "?", "colon": ":",
-    "dot": ".", "comma": ",", "semi": ";", "lp": "(", "rp": ")", "lb": "[", "rb": "]", "lc": "{", "rc": "}", "arrow": "A", "at": "@", "dots": "D", "pair": "C", "chan": "h", "define": "d", "bad": "X", "nl": "\n", "tilde": "~",
+    "dot": ".", "comma": ",", "semi": ";", "lp": "(", "rp": ")", "lb": "[", "rb": "]", "lc": "{", "rc": "}", "arrow": "A", "at": "@", "dots": "D", "pair": "C", "recv": "h", "define": "d", "bad": "X", "nl": "\n", "tilde": "~",
 }
 
 WORDS = {
@@ -41,7 +41,7 @@ PATTERNS["typescript"] = PATTERNS["javascript"]
 
 OPERATORS = {
     "bin": "/ % ^ | && || ?? == != === !== <= >= << >> >>> ** // &^", "add": "+ -", "amp": "&", "star": "*", "inc": "++ --", "not": "!", "tilde": "~", "set": "+= -= *= /= %= &= |= ^= <<= >>= >>>= **= //= &&= ||= ??= @= &^=", "eq": "=",
-    "lt": "<", "gt": ">", "q": "?", "colon": ":", "dot": ". ?.", "comma": ",", "semi": ";", "lp": "(", "rp": ")", "lb": "[", "rb": "]", "lc": "{", "rc": "}", "arrow": "-> =>", "at": "@", "dots": "... ..", "pair": "::", "chan": "<-", "define": ":=",
+    "lt": "<", "gt": ">", "q": "?", "colon": ":", "dot": ". ?.", "comma": ",", "semi": ";", "lp": "(", "rp": ")", "lb": "[", "rb": "]", "lc": "{", "rc": "}", "arrow": "-> =>", "at": "@", "dots": "... ..", "pair": "::", "recv": "<-", "define": ":=",
 }
 
 

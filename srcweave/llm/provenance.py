@@ -77,7 +77,7 @@ def minified(text: str) -> bool:
         return False
     long = [x for x in text.split("\n") if len(x) > 300 and not x.lstrip().startswith(("//", "#", "*", "/*", '"', "'"))]
     size = sum(map(len, long))
-    return size >= 0.5 * len(text) and sum(x.count(" ") + x.count("\t") for x in long) < 0.1 * size
+    return size >= 0.5 * len(text) and sum(x.count(" ") + x.count("\t") for x in long) < 0.15 * size
 
 
 def data(text: str) -> bool:
