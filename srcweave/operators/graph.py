@@ -193,3 +193,75 @@ def this_fields(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     fields = nodes.where(F.col("node_type") == FIELD).select(F.col("id").alias("field"))
     hit = inside.join(this, inside["desc"] == this["v"]).select(F.col("anc").alias("method"), "v")
     return hit.join(owned.select(F.col("anc").alias("v"), F.col("desc").alias("field")), "v").join(fields, "field", "left_semi").select("method", "field").distinct()
+
+
+def lookup(nodes: DataFrame, files: DataFrame, node_type: int, name: str, repo: str | None = None, path: str | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """(root, id) of the entity of that name, the smallest id among several; repo and path are resolved over the file.
+
+    ``owners`` (id) restricts to the contained entities that it lists. Without a match the result is empty.
+    """
+    hit = nodes.where((F.col("node_type") == node_type) & (F.col("name") == name))
+    if repo or path:
+        where = F.lit(True)
+        where = where & (F.col("repo") == repo) if repo else where
+        where = where & (F.col("path") == path) if path else where
+        hit = hit.join(files.where(where).select("file_id"), "file_id", "left_semi")
+    if owners is not None:
+        hit = hit.join(owners.select("id"), "id", "left_semi")
+    best = hit.agg(F.min("id").alias("id")).first()["id"]  # one row: a constant keeps the plans of what follows small
+    return seeds_of(nodes.sparkSession, [] if best is None else [best])
+
+
+def members_of_class(nodes: DataFrame, edges: DataFrame, class_name: str, label: str = "CONTAINS") -> DataFrame:
+    owners = nodes.where((F.col("node_type") == CLASS) & (F.col("name") == class_name)).select(F.col("id").alias("src"))
+    return edges.where(F.col("label") == label).join(owners, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+
+
+def parents(edges: DataFrame, seeds: DataFrame, max_depth: int = -1) -> DataFrame:
+    return bfs(edges.where("label = 'INHERITS'").select("src", "dst"), seeds, None if max_depth < 0 else max_depth).nodes.where("depth > 0")
+
+
+def subclasses(edges: DataFrame, seeds: DataFrame, max_depth: int = -1) -> DataFrame:
+    return bfs(reverse(edges.where("label = 'INHERITS'").select("src", "dst")), seeds, None if max_depth < 0 else max_depth).nodes.where("depth > 0")
+
+
+def method_context(nodes: DataFrame, edges: DataFrame, files: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, name, path, class_name, callers, callees): every function with its file, class and numbers of direct neighbours."""
+    f = nodes.where(F.col("node_type") == FUNCTION).select("id", "name", "file_id")
+    owner = edges.where("label = 'CONTAINS'").join(nodes.where(F.col("node_type") == CLASS).select(F.col("id").alias("src"), F.col("name").alias("class_name")), "src").select(F.col("dst").alias("id"), "class_name")
+    pairs = calls.select("src", "dst").distinct()
+    out_n, in_n = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees")), pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
+    joined = f.join(files.select("file_id", "path"), "file_id", "left").join(owner, "id", "left").join(out_n, "id", "left").join(in_n, "id", "left")
+    return joined.select("id", "name", "path", "class_name", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("callees", F.lit(0)).alias("callees"))
+
+
+def fields_written(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(method, field): distinct fields that a function's inner nodes write."""
+    return field_accessors(nodes, edges).where("access = 'write'").select("method", "field").distinct()
+
+
+def calls_by_function(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(function_id, calls): the calls inside each function, at any depth."""
+    inside = closure(edges.where("label = 'CONTAINS'").select("src", "dst"), nodes.where(F.col("node_type") == FUNCTION).select("id"))
+    calls = nodes.where(F.col("node_type") == NODE_TYPES["FunctionCall"]).select(F.col("id").alias("desc"))
+    return inside.join(calls, "desc", "left_semi").groupBy(F.col("anc").alias("function_id")).agg(F.countDistinct("desc").alias("calls"))
+
+
+def module_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file_id, module): the module that a file contains, the first by id."""
+    hop = children(edges, nodes, "CONTAINS", NODE_TYPES["FileScope"], (NODE_TYPES["ModuleScope"],))
+    return hop.groupBy(F.col("parent").cast("int").alias("file_id")).agg(F.min_by("name", "id").alias("module"))
+
+
+def dump(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, section, ord, line): a text dump of the graph; order by these columns and write the lines.
+
+    Nodes come by id, edges by their ends and label, totals last.
+    """
+    label = F.try_element_at(F.create_map(*[F.lit(x) for n, i in NODE_TYPES.items() for x in (i, n)]), F.col("node_type"))
+    at = files.select("file_id", "path")
+    n = nodes.join(at, "file_id").select("path", F.lit(0).alias("section"), F.format_string("%020d", "id").alias("ord"), F.concat(F.lit("["), label, F.lit("] ID:"), F.col("id").cast("string"), F.lit(' Name:"'), F.coalesce("name", F.lit("")), F.lit('"')).alias("line"))
+    owner = nodes.select(F.col("id").alias("src"), "file_id").join(at, "file_id").select("src", "path")
+    e = edges.join(owner, "src").select("path", F.lit(1).alias("section"), F.format_string("%020d %s %020d", "src", "label", "dst").alias("ord"), F.concat(F.lit("("), F.col("src").cast("string"), F.lit(") -["), "label", F.lit("]-> ("), F.col("dst").cast("string"), F.lit(")")).alias("line"))
+    totals = n.unionByName(e).groupBy("path").agg(F.sum((F.col("section") == 0).cast("int")).alias("a"), F.sum((F.col("section") == 1).cast("int")).alias("b")).select("path", F.lit(2).alias("section"), F.lit("").alias("ord"), F.format_string("total nodes %d, edges %d", "a", "b").alias("line"))
+    return n.unionByName(e).unionByName(totals)

@@ -92,7 +92,7 @@ def versions_of(versions: DataFrame, **where) -> DataFrame:
 
 def set_status(versions: DataFrame, file_ids: DataFrame, status: str, now: Column | None = None) -> DataFrame:
     hit = versions.join(file_ids.select("file_id").distinct().withColumn("_hit", F.lit(True)), "file_id", "left")
-    return hit.withColumn("status", F.when("_hit", F.lit(status)).otherwise(F.col("status"))).withColumn("updated_at", F.when("_hit", now if now is not None else F.current_timestamp()).otherwise(F.col("updated_at"))).drop("_hit")
+    return hit.withColumn("status", F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("status"))).withColumn("updated_at", F.when(F.col("_hit"), now if now is not None else F.current_timestamp()).otherwise(F.col("updated_at"))).drop("_hit")
 
 
 def without_ephemeral(versions: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ files_ AS (SELECT (n_nationkey + 1)::INT AS file_id, r_name AS repo, lower(r_nam
   (['go','python','java','javascript','csharp'])[n_nationkey % 5 + 1] AS language FROM nation JOIN region ON n_regionkey = r_regionkey),
 cls AS (SELECT (file_id::BIGINT << 32) + 1000000 + k AS id, file_id, name, k FROM sup),
 fn AS (SELECT (s.file_id::BIGINT << 32) + 2000000 + p_partkey AS id, s.file_id, p_name AS name, (p_partkey % 500)::INT AS sl, (p_partkey % 500 + p_size)::INT AS el,
-  (s.file_id::BIGINT << 32) + 1000000 + s.k AS class_id, s.name AS class_name, p_partkey FROM part JOIN sup s ON p_partkey % (SELECT count(*) FROM supplier) = s.k),
+  (s.file_id::BIGINT << 32) + 1000000 + s.k AS class_id, s.name AS class_name, (s.file_id::BIGINT << 32) + 4000000 + p_partkey AS block, p_partkey FROM part JOIN sup s ON p_partkey % (SELECT count(*) FROM supplier) = s.k),
 small AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn, l_orderkey % (SELECT count(*) FROM part) AS caller FROM lineitem WHERE l_quantity <= 4),
 calls AS (SELECT 4611686018427387904 + l_orderkey * 64 + rn AS call_site, f.id AS src, g.id AS dst, l_suppkey, l_returnflag, l_discount FROM small JOIN fn f ON caller = f.p_partkey JOIN fn g ON l_partkey = g.p_partkey),
 ce AS (SELECT DISTINCT src, dst FROM calls),
