@@ -214,43 +214,43 @@ def g19(spark: SparkSession, sf: str) -> DataFrame:
     return G.fields_accessed(g.nodes, g.edges)
 
 
-# ---------------------------------------------------------------- entity search
+# ---------------------------------------------------------------- entity search; rdNN is operator PNN of the inventory
 
 
-@query("p01_repos", "SELECT DISTINCT repo FROM files WHERE repo IS NOT NULL")
+@query("rd01_repos", "SELECT DISTINCT repo FROM files WHERE repo IS NOT NULL")
 def p01_(spark: SparkSession, sf: str) -> DataFrame:
     return R.list_repos(table(spark, sf, "files"))
 
 
-@query("p02_find_files", "SELECT file_id, repo, path, language FROM files WHERE language = 'go' AND contains(path, 'query') ORDER BY path, file_id LIMIT 50 OFFSET 2")
+@query("rd02_find_files", "SELECT file_id, repo, path, language FROM files WHERE language = 'go' AND contains(path, 'query') ORDER BY path, file_id LIMIT 50 OFFSET 2")
 def p02_(spark: SparkSession, sf: str) -> DataFrame:
     return R.find_files(table(spark, sf, "files"), language="go", path_like="query", offset=2, limit=50).select("file_id", "repo", "path", "language")
 
 
-@query("p03_file_versions_by_path", "SELECT repo, path, min(file_id) AS file_id, count(*) AS versions FROM files GROUP BY repo, path HAVING count(*) > 1")
+@query("rd03_file_versions_by_path", "SELECT repo, path, min(file_id) AS file_id, count(*) AS versions FROM files GROUP BY repo, path HAVING count(*) > 1")
 def p03_(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "files").groupBy("repo", "path").agg(F.min("file_id").alias("file_id"), F.count("*").alias("versions")).where("versions > 1")
 
 
-@query("p04_find_classes", f"WITH {GRAPH} SELECT c.id, c.name, repo, path FROM cls c JOIN files_ USING (file_id) WHERE repo = 'ASIA' AND contains(c.name, '1')")
+@query("rd04_find_classes", f"WITH {GRAPH} SELECT c.id, c.name, repo, path FROM cls c JOIN files_ USING (file_id) WHERE repo = 'ASIA' AND contains(c.name, '1')")
 def p04_(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     return R.find_classes(g.nodes, g.files, repo="ASIA", name_like="1").select("id", "name", "repo", "path")
 
 
-@query("p06_find_methods", f"WITH {GRAPH} SELECT id, name FROM fn JOIN files_ USING (file_id) WHERE repo = 'EUROPE' ORDER BY name, id LIMIT 100")
+@query("rd06_find_methods", f"WITH {GRAPH} SELECT id, name FROM fn JOIN files_ USING (file_id) WHERE repo = 'EUROPE' ORDER BY name, id LIMIT 100")
 def p06_(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     return R.find_methods(g.nodes, g.edges, g.files, is_method=True, repo="EUROPE", limit=100).select("id", "name")
 
 
-@query("p08_find_fields", f"WITH {GRAPH} SELECT DISTINCT field AS id, repo FROM touched t JOIN files_ f ON (t.field >> 32) = f.file_id WHERE repo = 'AFRICA'")
+@query("rd08_find_fields", f"WITH {GRAPH} SELECT DISTINCT field AS id, repo FROM touched t JOIN files_ f ON (t.field >> 32) = f.file_id WHERE repo = 'AFRICA'")
 def p08_(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     return R.find_fields(g.nodes, g.edges, g.files, repo="AFRICA").select("id", "repo")
 
 
-@query("p17_references", f"WITH {GRAPH} SELECT '12' AS ref, 12::BIGINT AS id UNION ALL SELECT ref, min(id) FROM (SELECT class_name || '.' || name AS ref, id FROM fn WHERE p_partkey < 20) GROUP BY ref")
+@query("rd17_references", f"WITH {GRAPH} SELECT '12' AS ref, 12::BIGINT AS id UNION ALL SELECT ref, min(id) FROM (SELECT class_name || '.' || name AS ref, id FROM fn WHERE p_partkey < 20) GROUP BY ref")
 def p17_(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     some = g.of_type(7).where(F.col("id") % F.lit(1 << 32) < 2_000_020).select("class_id", "name").join(g.of_type(8).select(F.col("id").alias("class_id"), F.col("name").alias("c")), "class_id").select(F.concat("c", F.lit("."), "name").alias("ref"))
@@ -259,7 +259,7 @@ def p17_(spark: SparkSession, sf: str) -> DataFrame:
     return R.resolve_reference(refs, g.nodes, g.edges)
 
 
-@query("p18_snippets", "SELECT id, array_to_string((string_split(replace(regexp_replace(content, '\\n$', ''), chr(13), ''), chr(10)))[3:5], chr(10)) AS code, CASE WHEN coalesce(content, '') = '' THEN 0 ELSE len(string_split(regexp_replace(content, '\\n$', ''), chr(10))) END::INT AS total_lines FROM (SELECT DISTINCT id, content FROM chunks WHERE chunk_type = 'function' AND content IS NOT NULL)")
+@query("rd18_snippets", "SELECT id, array_to_string((string_split(replace(regexp_replace(content, '\\n$', ''), chr(13), ''), chr(10)))[3:5], chr(10)) AS code, CASE WHEN coalesce(content, '') = '' THEN 0 ELSE len(string_split(regexp_replace(content, '\\n$', ''), chr(10))) END::INT AS total_lines FROM (SELECT DISTINCT id, content FROM chunks WHERE chunk_type = 'function' AND content IS NOT NULL)")
 def p18_(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "chunks").where("chunk_type = 'function' and content is not null").select("id", "content").distinct()
     return c.select("id", R.snippet(F.col("content"), 3, 5).alias("code"), R.line_count(F.col("content")).alias("total_lines"))

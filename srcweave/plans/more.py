@@ -128,46 +128,46 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
     return G.dump(g.files, g.of_type(8), g.edges.where("label = 'INHERITS'")).where("section < 2").select("line")
 
 
-@query("p05_class_full", f"WITH {GRAPH}, f AS (SELECT DISTINCT ((field & 4294967295) - 200000000) // 4 AS k, field FROM touched) SELECT id AS class_id, name, (SELECT count(*) FROM fn WHERE class_id = cls.id)::INT AS methods, (SELECT count(*) FROM f WHERE f.k = cls.k)::INT AS fields FROM cls")
+@query("rd05_class_full", f"WITH {GRAPH}, f AS (SELECT DISTINCT ((field & 4294967295) - 200000000) // 4 AS k, field FROM touched) SELECT id AS class_id, name, (SELECT count(*) FROM fn WHERE class_id = cls.id)::INT AS methods, (SELECT count(*) FROM f WHERE f.k = cls.k)::INT AS fields FROM cls")
 def p05(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     return R.class_full(g.nodes, g.edges).select("class_id", "name", F.coalesce(F.size("methods"), F.lit(0)).alias("methods"), F.coalesce(F.size("fields"), F.lit(0)).alias("fields"))
 
 
-@query("p09_file_classes", f"WITH {GRAPH} SELECT id, name FROM cls WHERE file_id = 3")
+@query("rd09_file_classes", f"WITH {GRAPH} SELECT id, name FROM cls WHERE file_id = 3")
 def p09(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     return R.find_classes(g.nodes, g.files, file_id=3).select("id", "name")
 
 
-@query("p10b_classes_over_modules", f"WITH {GRAPH} SELECT c.id, path FROM cls c JOIN files_ USING (file_id)")
+@query("rd10b_classes_over_modules", f"WITH {GRAPH} SELECT c.id, path FROM cls c JOIN files_ USING (file_id)")
 def p10b(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     modules = G.children(g.edges, g.nodes, "CONTAINS", 2, (1,)).select(F.col("parent").alias("file"), F.col("id").alias("parent"))
     return G.children(g.edges, g.nodes, "CONTAINS", 1, (8,)).select("parent", "id").join(modules, "parent").join(g.files.select(F.col("file_id").cast("long").alias("file"), "path"), "file").select("id", "path")
 
 
-@query("p21_outgoing", f"WITH {GRAPH} SELECT src, dst, 'INHERITS' AS label FROM inh WHERE dst = {CLS1}")
+@query("rd21_outgoing", f"WITH {GRAPH} SELECT src, dst, 'INHERITS' AS label FROM inh WHERE dst = {CLS1}")
 def p21(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     one = _node(g, 8, 1_000_000, 1).first()["id"]
     return R.incoming(g.edges, one, "INHERITS").select("src", "dst", "label")
 
 
-@query("p22_edges_of_file", f"WITH {GRAPH} SELECT count(*) AS n FROM inh WHERE (src >> 32) = 3 OR (dst >> 32) = 3")
+@query("rd22_edges_of_file", f"WITH {GRAPH} SELECT count(*) AS n FROM inh WHERE (src >> 32) = 3 OR (dst >> 32) = 3")
 def p22(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     return R.edges_of_file(g.nodes, g.edges.where("label = 'INHERITS'"), 3).agg(F.count("*").alias("n"))
 
 
-@query("p23_free_sql", f"WITH {GRAPH} SELECT c.name, count(*) AS methods FROM cls c JOIN fn ON fn.class_id = c.id GROUP BY c.id, c.name")
+@query("rd23_free_sql", f"WITH {GRAPH} SELECT c.name, count(*) AS methods FROM cls c JOIN fn ON fn.class_id = c.id GROUP BY c.id, c.name")
 def p23(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
     R.sql_views(spark, g.nodes, g.edges, g.files)
     return spark.sql("SELECT c.name, count(*) AS methods FROM nodes c JOIN edges e ON e.src = c.id AND e.label = 'CONTAINS' JOIN nodes m ON m.id = e.dst WHERE c.node_type = 8 AND m.node_type = 7 GROUP BY c.id, c.name")
 
 
-@query("p20_keyword_filter", "SELECT vec_id FROM embeddings WHERE label = 4")
+@query("rd20_keyword_filter", "SELECT vec_id FROM embeddings WHERE label = 4")
 def p20(spark: SparkSession, sf: str) -> DataFrame:
     return V.keyword_filter(table(spark, sf, "embeddings"), {"label": 4}).select("vec_id")
 
