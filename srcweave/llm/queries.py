@@ -104,8 +104,7 @@ def p2_hand_written(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _credentials(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "chunks").select("id", "content", "file_path").distinct()
-    return credentials.credentials(chunks, table(spark, sf, "appsettings"))
+    return credentials.credentials(table(spark, sf, "chunks"), table(spark, sf, "appsettings"))
 
 
 @query("p1_found")
