@@ -13,7 +13,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def norm(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(None if v is None or v != v else round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False)), list(df.columns)
+    rows = [tuple(None if v is None or v != v else round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False)]
+    return sorted(rows, key=repr), list(df.columns)
 
 
 @pytest.mark.parametrize("name", sorted(entry.core.ORACLES))
