@@ -29,8 +29,10 @@ SEGMENTS, WIDTH = 8, 4
 SHINGLE, MIN_WORDS, LEAST = 4, 40, 0.7
 #: Symbols that must agree: the expected number at LEAST less 3.8 standard deviations.
 AGREE = 12
-#: Members of two classes of copies are paired off one by one up to so many pairs; beyond, through the representatives.
+#: Exact copies of two texts are paired off one by one up to so many pairs; beyond, through the representatives.
 EXPAND = 4_096
+#: Different texts of one word sequence that are paired off in one block.
+BLOCK = 64
 WORD = regex.compile(r"[a-z0-9_]+")
 _MUL = np.random.default_rng(11).integers(1, 2**63, size=SEGMENTS * WIDTH, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(12).integers(0, 2**63, size=SEGMENTS * WIDTH, dtype=np.uint64)
@@ -60,8 +62,9 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
 @dataclass
 class Similar:
     pairs: DataFrame  # (id_a, id_b), id_a < id_b
-    links: DataFrame  # (a, b): pairs of class representatives and (representative, copy) pairs
-    classes: DataFrame  # (id, rep): every text that takes part
+    links: DataFrame  # (a, b): pairs that connect all similar texts, without the multiples of equal word sequences
+    classes: DataFrame  # (id, rep): every text that takes part, with the smallest id of the same content
+    degrees: DataFrame  # (rep, n_links): the number of other contents a content is similar to
 
 
 def similar_texts(rows: DataFrame, id_col: str, text_col: str, least: float = LEAST, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> Similar:
@@ -69,10 +72,11 @@ def similar_texts(rows: DataFrame, id_col: str, text_col: str, least: float = LE
 
     Words are maximal runs of a-z, 0-9 and _ in the lower-cased text; texts with fewer than
     ``min_words`` (null and empty ones among them) take no part. Repeated (id, text) rows count once; of
-    an id with several texts the smallest is taken; null ids take no part. Texts with equal word sequences form a class with the smallest
-    id as representative; classes are compared once. ``pairs`` has the pairs of all members, except
-    where two classes would give more than EXPAND pairs: those are linked through their representatives, each
-    copy with its own, so no link between different texts is lost and no group is multiplied out.
+    an id with several texts the smallest is taken; null ids take no part. Texts with equal word sequences are compared
+    once, through the smallest id (``head``); exact copies of one content form a class with the smallest id as
+    representative. ``pairs`` has all pairs of different contents, in blocks where many share a word sequence, and
+    the pairs of their copies, except where the copies of two contents would give more than EXPAND pairs: those
+    are linked through their representatives, each copy with its own.
     """
     scratch = Scratch(rows.sparkSession)
     texts = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null").groupBy("id").agg(F.min("t").alias("t"))
@@ -92,14 +96,17 @@ def similar_texts(rows: DataFrame, id_col: str, text_col: str, least: float = LE
                     known.clear()
                 s = runs(h, shingle)
                 d = xxhash.xxh3_128(h.tobytes()).intdigest()
-                out.append((i, d >> 65, d & (2**63 - 1), len(s), fingerprint(s), (s >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pd.DataFrame(out, columns=["id", "c1", "c2", "n", "sig", "shingles"])
-
-    signed = scratch.keep(texts.mapInPandas(sign, "id string, c1 long, c2 long, n int, sig array<int>, shingles array<int>"))
-    ids = signed.select("id", "c1", "c2")
-    reps = ids.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = scratch.keep(ids.join(reps, ["c1", "c2"]).select("id", "rep", "copies"))
-    only = signed.join(classes.where("id = rep").select("id"), "id", "left_semi")
+                k = xxhash.xxh3_128(t.encode("utf-8", "replace")).intdigest()
+                out.append((i, d >> 65, d & (2**63 - 1), k >> 65, k & (2**63 - 1), len(s), fingerprint(s), (s >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame(out, columns=["id", "c1", "c2", "k1", "k2", "n", "sig", "shingles"])
+
+    signed = scratch.keep(texts.mapInPandas(sign, "id string, c1 long, c2 long, k1 long, k2 long, n int, sig array<int>, shingles array<int>"))
+    words, content = ["c1", "c2"], ["c1", "c2", "k1", "k2"]
+    ids = signed.select("id", *content)
+    copies = ids.groupBy(content).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    heads = copies.groupBy(words).agg(F.min("rep").alias("head"), F.count("*").alias("contents"))
+    classes = scratch.keep(ids.join(copies.join(heads, words), content).select("id", "rep", "copies", "head", "contents"))
+    only = signed.join(classes.where("id = head").select("id"), "id", "left_semi")
 
     balls = F.flatten(F.array(*[F.array(*[F.xxhash64(F.lit(s * WIDTH + o), *[F.col("sig")[s * WIDTH + i] for i in range(WIDTH) if i != o]) for o in range(WIDTH)]) for s in range(SEGMENTS)]))
     keys = only.select("id", F.explode(balls).alias("key"))
@@ -123,28 +130,40 @@ def similar_texts(rows: DataFrame, id_col: str, text_col: str, least: float = LE
             yield b.loc[keep, ["a", "b"]]
 
     exact = scratch.keep(full.mapInPandas(verify, "a string, b string"))
+    # different contents, in blocks of one or two word sequences
+    n_blocks = F.ceil(F.col("contents") / BLOCK).cast("int")
+    heads = classes.where("id = head").select("head", "contents", n_blocks.alias("n"))
+    ha, hb = (heads.select(F.col("head").alias(r), F.col("contents").alias(f"c{r}"), F.col("n").alias(f"n{r}")) for r in "ab")
+    linked = exact.join(ha, "a").join(hb, "b")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    blocks = linked.select("a", "b", F.explode(upto("na")).alias("i"), "nb").select("a", "b", "i", F.explode(upto("nb")).alias("j"))
+    own = heads.where("contents > 1").select(F.col("head").alias("a"), F.col("head").alias("b"), F.explode(upto("n")).alias("i"), "n")
+    blocks = blocks.unionByName(own.select("a", "b", "i", F.explode(F.sequence(F.col("i"), F.col("n") - 1)).alias("j")))
+    texts_of = classes.where("id = rep").select("head", "rep", "copies", F.pmod(F.xxhash64("rep"), n_blocks.cast("long")).cast("int").alias("block"))
+    x = texts_of.select(F.col("head").alias("a"), F.col("block").alias("i"), F.col("rep").alias("p"), F.col("copies").alias("np"))
+    y = texts_of.select(F.col("head").alias("b"), F.col("block").alias("j"), F.col("rep").alias("q"), F.col("copies").alias("nq"))
+    different = blocks.join(x, ["a", "i"]).join(y, ["b", "j"]).where("a != b or i != j or p < q").select("p", "q", "np", "nq")
+    # their copies, one by one while there are few
+    few = F.col("np") * F.col("nq") <= EXPAND
     member = classes.select("rep", "id", "copies")
-    x, y = (member.select(F.col("rep").alias(r), F.col("id").alias(f"i{r}"), F.col("copies").alias(f"n{r}")) for r in "ab")
-    # members of linked classes, one by one while there are few
-    sizes = classes.where("id = rep").select(F.col("rep"), "copies")
-    linked = exact.join(sizes.select(F.col("rep").alias("a"), F.col("copies").alias("ca")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("copies").alias("cb")), "b")
-    few = F.col("ca") * F.col("cb") <= EXPAND
-    across = linked.where(few).join(x, "a").join(y, "b").select(F.col("ia").alias("p"), F.col("ib").alias("q")).unionByName(linked.where(~few).select(F.col("a").alias("p"), F.col("b").alias("q")))
-    star = classes.where("id != rep").select(F.col("rep").alias("p"), F.col("id").alias("q"))
+    mp, mq = (member.select(F.col("rep").alias(r), F.col("id").alias(f"i{r}")) for r in "pq")
+    across = different.where(few).join(mp, "p").join(mq, "q").select(F.col("ip").alias("p"), F.col("iq").alias("q")).unionByName(different.where(~few).select("p", "q"))
+    star = member.where("id != rep").select(F.col("rep").alias("p"), F.col("id").alias("q"), "copies")
     small = member.where(F.col("copies").between(2, int(EXPAND**0.5)))
     inside = small.select("rep", F.col("id").alias("p")).join(small.select("rep", F.col("id").alias("q")), "rep").where("p < q").select("p", "q")
-    inside = inside.unionByName(star.join(member.where(F.col("copies") > int(EXPAND**0.5)).select(F.col("id").alias("q")), "q", "left_semi"))
+    inside = inside.unionByName(star.where(F.col("copies") > int(EXPAND**0.5)).select("p", "q"))
     pairs = across.unionByName(inside).select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
-    links = exact.unionByName(star.select(F.col("p").alias("a"), F.col("q").alias("b")))
-    return Similar(pairs, links, classes.select("id", "rep"))
+    links = exact.unionByName(classes.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    others = linked.select(F.explode(F.array(F.struct(F.col("a").alias("head"), F.col("cb").alias("m")), F.struct(F.col("b").alias("head"), F.col("ca").alias("m")))).alias("o")).groupBy("o.head").agg(F.sum("o.m").alias("m"))
+    degrees = classes.where("id = rep").join(others, "head", "left").select("rep", (F.coalesce("m", F.lit(0)) + F.col("contents") - 1).alias("n_links"))
+    return Similar(pairs, links, classes.select("id", "rep"), degrees)
 
 
 def groups(found: Similar) -> DataFrame:
     """(id, class_id, group_id, n_links): one row per text; group_id is the smallest id reached over links.
 
-    n_links counts the other classes a text's class is similar to.
+    class_id is the smallest id of the same content; n_links counts the other contents a text's content is similar to.
     """
     label = components(found.links, "a", "b")
-    degree = found.links.join(found.classes.where("id = rep").select(F.col("id").alias("b")), "b", "left_semi").select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    out = found.classes.join(label.withColumnRenamed("component", "group_id"), "id", "left").join(degree, "rep", "left")
-    return out.select("id", F.col("rep").alias("class_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = found.classes.join(label.withColumnRenamed("component", "group_id"), "id", "left").join(found.degrees, "rep")
+    return out.select("id", F.col("rep").alias("class_id"), F.coalesce("group_id", "id").alias("group_id"), "n_links")

@@ -45,6 +45,17 @@ def test_large_classes_are_linked_through_their_representative(spark, monkeypatc
     assert {x[0] for x in g.values()} == {"c00"} and g["c05"][1] == 1
 
 
+def test_reformatted_versions_are_paired_in_full(spark, monkeypatch):
+    monkeypatch.setattr(N, "EXPAND", 8)
+    monkeypatch.setattr(N, "BLOCK", 3, raising=False)
+    t = texts()
+    rows = [(f"c{i:02d}", t[0][1] + " !" * i) for i in range(20)] + [(f"e{i:02d}", t[1][1] + " ?" * i) for i in range(10)]
+    found = N.similar_texts(spark.createDataFrame(rows, "id string, t string"), "id", "t")
+    got = [tuple(r) for r in found.pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) == 30 * 29 // 2
+    assert {(r["group_id"], r["n_links"]) for r in N.groups(found).collect()} == {("c00", 29)}
+
+
 def test_empty(spark):
     f = N.similar_texts(spark.createDataFrame([], "id string, t string, a int, b int"), "id", "t")
     assert f.pairs.count() == 0 and N.groups(f).count() == 0
