@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from srcweave.functions.signatures import parsed_signature
 from srcweave.functions.text import LANGUAGE_BY_EXT, context_hash, dir_name, format_signature, signature_chunk_id, signature_text, zip_params
+from srcweave.session import Scratch
 
 MIN_LINES = 5
 CHUNKS = "id string, file_id int, chunk_type string, level int, parent_id string, start_line int, end_line int, name string, signature string, docstring string, content string"
@@ -260,37 +261,79 @@ def parse_graph(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- summaries
 
 
+#: Children that are written up at once; more are folded into partial summaries of about so many first.
+FAN = 1_000
+
+
 def extractive(title: Column, parts: Column) -> Column:
-    """Stand-in for a language model: the title and the first parts."""
-    return F.concat(title, F.lit(": "), F.array_join(F.slice(parts, 1, 5), "; "))
+    """Stand-in for a language model: the title and all parts."""
+    return F.when(F.size(parts) > 0, F.concat(title, F.lit(": "), F.array_join(parts, "; "))).otherwise(title)
 
 
 def summaries(chunks: DataFrame, files: DataFrame, write: Callable[[Column, Column], Column] = extractive) -> DataFrame:
-    """(entity_id, entity_type, summary, context_hash) of functions, files, folders and projects, each level from the one below.
+    """(entity_id, entity_type, summary, context_hash) of functions, classes, files, folders and projects, each level from the ones below.
 
-    ``write`` turns a title and an array of parts into a text and may be a model's user-defined function.
+    ``write`` turns a title and an array of parts into a text and may be a model's user-defined function; it gets every
+    child. A function belongs to the innermost class whose lines hold it, else to its file; classes belong to their
+    file. Each row of ``files`` has a summary, also without chunks. Folders are made from their files and subfolders, deepest
+    first; projects from their top folders and the files outside of any. Beyond FAN children, salted shares of them are
+    written up first and the texts of the shares are the parts.
     """
-    f = chunks.where("chunk_type = 'function' and id is not null").dropDuplicates(["id"])
-    what = F.coalesce(F.nullif("docstring", F.lit("")), F.nullif("signature", F.lit("")), F.col("name"), F.lit(""))
-    functions = f.select(F.col("id").alias("entity_id"), F.lit("function").alias("entity_type"), "file_id", F.coalesce("name", F.lit("")).alias("title"), F.array(what).alias("parts"))
-    functions = functions.withColumn("summary", write(F.col("title"), F.col("parts"))).withColumn("context_hash", context_hash(F.col("title"), F.array_join("parts", "")))
-
-    def level(rows: DataFrame, key: str, kind: str, title: Column) -> DataFrame:
-        # the first parts in order are enough for a text, the hash covers all of them order-free
-        h = F.sha2(F.concat_ws("|", F.lit(kind), F.col(key).cast("string"), F.sum(F.xxhash64("entity_id", "summary").cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")), 256)
-        g = rows.withColumn("n", F.row_number().over(_by(key))).groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("n") <= 20, F.struct("n", "summary")))).alias("p"), F.first(title).alias("title"), h.alias("context_hash"))
-        return g.withColumn("parts", F.transform("p", lambda x: x["summary"])).withColumn("summary", write(F.col("title"), F.col("parts"))).withColumn("entity_type", F.lit(kind)).withColumn("entity_id", F.col(key).cast("string"))
-
-    paths = files.select("file_id", "repo", "path").dropDuplicates(["file_id"])
-    by_file = level(functions.join(paths, "file_id"), "file_id", "file", F.col("path")).join(paths, "file_id")
-    in_folder = by_file.withColumn("folder", F.concat_ws("/", "repo", dir_name(F.col("path"))))
-    by_folder = level(in_folder, "folder", "folder", F.col("folder"))
-    by_project = level(by_folder.withColumn("project", F.substring_index("folder", "/", 1)), "project", "project", F.col("project"))
+    scratch = Scratch(chunks.sparkSession)
+    text = lambda c: F.nullif(c, F.lit(""))
     cols = ["entity_id", "entity_type", "summary", "context_hash"]
-    return functions.select(cols).unionByName(by_file.select(cols)).unionByName(by_folder.select(cols)).unionByName(by_project.select(cols))
-
-
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("entity_id")
+    blocks = chunks.where("chunk_type in ('function', 'class') and id is not null").dropDuplicates(["id"]).select("id", "chunk_type", "file_id", "start_line", "end_line", "docstring", "signature", F.coalesce("name", F.lit("")).alias("title"), "name")
+    f, c = blocks.where("chunk_type = 'function'"), scratch.keep(blocks.where("chunk_type = 'class'"))
+    what = F.coalesce(text("docstring"), text("signature"), F.col("name"), F.lit(""))
+    own = f.withColumn("parts", F.array(what)).withColumn("summary", write(F.col("title"), F.col("parts"))).withColumn("context_hash", context_hash(F.col("title"), F.array_join("parts", "")))
+    around = c.select("file_id", F.col("id").alias("class"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
+    inner = f.join(around, "file_id").where("cs <= start_line and end_line <= ce").groupBy("id").agg(F.max_by("class", F.struct("cs", -F.col("ce"), "class")).alias("class"))
+    functions = scratch.keep(own.join(inner, "id", "left").select(F.col("id").alias("entity_id"), F.lit("function").alias("entity_type"), "summary", "context_hash", "file_id", "class"))
+
+    def level(kind: str, parents: DataFrame, children: DataFrame) -> DataFrame:
+        """``parents`` (key, title, ...) with the summary of all their ``children`` (key, entity_id, summary)."""
+        titled = children.join(parents.select("key", "title"), "key")
+        sums = titled.groupBy("key").agg(F.sum(F.xxhash64("entity_id", "summary").cast("decimal(38,0)")).alias("total"), F.count("*").alias("n"))
+        rows = titled.join(sums.select("key", "n"), "key")
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "summary"))), lambda x: x["summary"])
+        few = rows.where(F.col("n") <= FAN).select("key", "entity_id", "summary")
+        salt = F.pmod(F.xxhash64("entity_id"), F.ceil(F.col("n") / FAN).cast("long"))
+        shares = rows.where(F.col("n") > FAN).groupBy("key", "title", salt.alias("salt")).agg(in_order.alias("parts"))
+        many = shares.select("key", F.format_string("%012d", "salt").alias("entity_id"), write(F.col("title"), F.col("parts")).alias("summary"))
+        parts = few.unionByName(many).groupBy("key").agg(in_order.alias("parts"))
+        # the hash covers the children order-free
+        h = F.sha2(F.concat_ws("|", F.lit(kind), F.col("key").cast("string"), F.coalesce("total", F.lit(0).cast("decimal(38,0)")).cast("string"), F.coalesce("n", F.lit(0)).cast("string")), 256)
+        g = parents.join(sums, "key", "left").join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
+        g = g.withColumn("summary", write(F.col("title"), F.col("parts"))).withColumn("entity_type", F.lit(kind)).withColumn("entity_id", F.col("key").cast("string")).withColumn("context_hash", h)
+        return scratch.keep(g.select(*cols, *[x for x in parents.columns if x not in ("key", "title")]))
+
+    child = lambda df, key: df.select(F.col(key).alias("key"), "entity_id", "summary")
+    described = c.where(text("docstring").isNotNull()).select(F.col("id").alias("key"), F.lit("").alias("entity_id"), F.col("docstring").alias("summary"))
+    classes = level("class", c.select(F.col("id").alias("key"), "title", "file_id"), child(functions.where("class is not null"), "class").unionByName(described))
+
+    paths = files.where("file_id is not null").select("file_id", "repo", F.coalesce("path", F.lit("")).alias("path")).dropDuplicates(["file_id"])
+    folder = F.when(dir_name(F.col("path")) == "", F.lit(".")).otherwise(dir_name(F.col("path")))
+    depth = lambda c: F.size(F.filter(F.split(c, "/"), lambda x: (x != "") & (x != ".")))
+    in_file = child(classes, "file_id").unionByName(child(functions.where("class is null"), "file_id"))
+    by_file = level("file", paths.select(F.col("file_id").alias("key"), F.col("path").alias("title"), "repo", folder.alias("path")), in_file)
+    above = by_file.select("repo", "path", depth(F.col("path")).alias("depth"), "entity_id", "summary")
+    deepest = above.agg(F.max("depth")).first()[0] or 0
+
+    name = F.concat_ws("/", "repo", "path")
+    below, folders = None, []
+    for d in range(deepest, 0, -1):
+        inside = above.where(F.col("depth") == d).select("repo", "path", "entity_id", "summary")
+        if below is not None:
+            inside = inside.unionByName(below.select("repo", folder.alias("path"), "entity_id", "summary"))
+        inside = inside.withColumn("key", name)
+        below = level("folder", inside.groupBy("key").agg(F.first("key").alias("title"), F.first("repo").alias("repo"), F.first("path").alias("path")), child(inside, "key"))
+        folders.append(below)
+    top = above.where("depth = 0").select("repo", "entity_id", "summary")
+    if below is not None:
+        top = top.unionByName(below.select("repo", "entity_id", "summary"))
+    top = top.withColumn("key", F.coalesce("repo", F.lit("")))
+    by_project = level("project", top.groupBy("key").agg(F.first("key").alias("title")), child(top, "key"))
+    out = functions.select(cols)
+    for x in (classes, by_file, *folders, by_project):
+        out = out.unionByName(x.select(cols))
+    return out

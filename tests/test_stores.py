@@ -135,3 +135,25 @@ def test_stream_merge_is_repeatable(spark, tmp_path):
     spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string").write.mode("append").parquet(src)
     run("ck")
     assert rows(store.read()) == {(1, "b"), (2, "c")}
+
+
+def test_summaries_take_every_child(spark, monkeypatch):
+    monkeypatch.setattr(I, "FAN", 10, raising=False)
+    schema = "id string, file_id int, chunk_type string, name string, docstring string, signature string, start_line int, end_line int"
+    chunks = [(f"f{i}", 1, "function", f"n{i}", f"<doc{i}>", None, 10 * i, 10 * i + 5) for i in range(60)]
+    chunks += [("c", 1, "class", "C", "<class doc>", None, 0, 309), ("g", 2, "function", "g", None, "<sig>", 0, 9)]
+    files = [(1, "r", "a/b/x.py"), (2, "r", "a/y.py"), (3, "r", "z.py")] + [(i, "r", f"d{i}/w.py") for i in range(10, 50)]
+    got = I.summaries(spark.createDataFrame(chunks, schema), spark.createDataFrame(files, "file_id int, repo string, path string")).collect()
+    text = {(r["entity_type"], r["entity_id"]): r["summary"] for r in got}
+    assert len(text) == len(got) == 61 + 1 + 43 + 42 + 1
+    docs = [f"<doc{i}>" for i in range(60)]
+    assert all((d in text["class", "c"]) == (i <= 30) for i, d in enumerate(docs)) and "<class doc>" in text["class", "c"]
+    for x in (("file", "1"), ("folder", "r/a/b"), ("folder", "r/a"), ("project", "r")):
+        assert all(text[x].count(d) == 1 for d in [*docs, "<class doc>"]), x
+    assert "<sig>" in text["folder", "r/a"] and "<sig>" not in text["folder", "r/a/b"]
+    assert all(f"d{i}/w.py" in text["project", "r"] for i in range(10, 50)) and text["file", "3"] == "z.py" and "z.py" in text["project", "r"]
+
+
+def test_summaries_of_nothing(spark):
+    schema = "id string, file_id int, chunk_type string, name string, docstring string, signature string, start_line int, end_line int"
+    assert I.summaries(spark.createDataFrame([], schema), spark.createDataFrame([], "file_id int, repo string, path string")).count() == 0
