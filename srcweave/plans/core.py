@@ -287,7 +287,7 @@ SELECT query::INT AS query, id, score FROM s QUALIFY row_number() OVER (PARTITIO
 )
 def o02(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    queries = [list(r["embedding"]) for r in e.where("vec_id < 5").orderBy("vec_id").collect()]
+    queries = e.where("vec_id < 5").select(F.col("vec_id").cast("int").alias("query"), F.col("embedding").alias("vector"))
     return V.top_k(e, queries, 10, id_col="vec_id").select("query", "id", F.round("score", 6).alias("score"))
 
 
@@ -298,14 +298,14 @@ t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY sco
 )
 def a11(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    queries = [list(r["embedding"]) for r in e.where("vec_id < 5").orderBy("vec_id").collect()]
+    queries = e.where("vec_id < 5").select(F.col("vec_id").cast("int").alias("query"), F.col("embedding").alias("vector"))
     return V.best_of(V.top_k(e, queries, 10, id_col="vec_id"), 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query("o04_typed_search", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3) SELECT vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e::DOUBLE[]), 6) AS score FROM embeddings v, q WHERE label = 2 ORDER BY score DESC, id LIMIT 10")
 def o04(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    q = [list(r["embedding"]) for r in e.where("vec_id = 3").collect()]
+    q = e.where("vec_id = 3").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     return V.top_k(V.keyword_filter(e, {"label": 2}), q, 10, id_col="vec_id").select("id", F.round("score", 6).alias("score"))
 
 

@@ -157,3 +157,25 @@ def test_summaries_take_every_child(spark, monkeypatch):
 def test_summaries_of_nothing(spark):
     schema = "id string, file_id int, chunk_type string, name string, docstring string, signature string, start_line int, end_line int"
     assert I.summaries(spark.createDataFrame([], schema), spark.createDataFrame([], "file_id int, repo string, path string")).count() == 0
+
+
+def test_every_twentieth_vector_against_all(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 700, raising=False)
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(-4, 5, (21_000, 3)).astype(float)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<float>")
+    queries = v.where("id % 20 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("vector"))
+    got = {}
+    for r in V.top_k(v, queries, 3).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"], round(r["score"], 9)))
+    used = [i for i in range(0, 21_000, 20) if x[i].any()]
+    assert sorted(got) == used and len(used) > 1_000
+    n = np.sqrt((x * x).sum(1))
+    for i in used[:: 50]:
+        with np.errstate(all="ignore"):
+            s = np.where(n > 0, x @ x[i] / (n * n[i]), -9).round(9)
+        want = np.lexsort((np.arange(len(s)), -s))[:3]
+        assert [y for _, _, y in sorted(got[i])] == [s[j] for j in want]
+    lists = V.top_k(v.limit(10), [[1.0, 2.0, 3.0]] * 1_001, 1)
+    assert lists.select("query").distinct().count() == 1_001
