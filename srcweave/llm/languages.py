@@ -28,7 +28,8 @@ ar ara arabic; ko kor korean; sv swe swedish; da dan danish; no nor nob nno norw
 BUCKETS, SMOOTH = 1 << 16, 0.05
 #: Weight of the text's log-likelihood, whose features depend on each other; price of a change of language between lines.
 TEMPER, SWITCH = 0.35, 3.5
-LEAST_SHARE = 0.0005
+#: Texts with words that a declared language needs to be learned.
+LEAST_TEXTS = 3
 
 
 @lru_cache
@@ -113,6 +114,7 @@ class Model:
 
 
 def _tally(rows: Iterator[tuple[str, np.ndarray]]) -> pd.DataFrame:
+    """Feature counts by language; at bucket -1 the number of arrays with features."""
     by: dict[str, list[np.ndarray]] = {}
     for lang, f in rows:
         if len(f):
@@ -121,18 +123,20 @@ def _tally(rows: Iterator[tuple[str, np.ndarray]]) -> pd.DataFrame:
     for lang, fs in by.items():
         c = np.bincount(np.concatenate(fs), minlength=BUCKETS)
         at = np.flatnonzero(c)
-        out.append(pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": c[at].astype(np.int64)}))
+        out.append(pd.DataFrame({"lang": lang, "bucket": np.r_[-1, at].astype(np.int32), "n": np.r_[len(fs), c[at]].astype(np.int64)}))
     return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=object), "bucket": pd.Series(dtype=np.int32), "n": pd.Series(dtype=np.int64)})
 
 
-def _model(counted: DataFrame) -> Model | None:
+def _model(counted: DataFrame, least: int = 1) -> Model | None:
     t = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if not len(t):
         return None
-    totals = t.groupby("lang")["n"].sum()
-    langs = sorted(totals.index[totals >= LEAST_SHARE * totals.sum()])
+    texts = t[t["bucket"] < 0].set_index("lang")["n"]
+    langs = sorted(texts.index[texts >= least])
+    if not langs:
+        return None
     counts = np.zeros((len(langs), BUCKETS))
-    t = t[t["lang"].isin(langs)]
+    t = t[t["lang"].isin(langs) & (t["bucket"] >= 0)]
     counts[t["lang"].map({x: i for i, x in enumerate(langs)}), t["bucket"]] = t["n"]
     return Model(langs, counts)
 
@@ -177,7 +181,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Lines are counted from 0; code, traces, blank lines and lines without words belong to the stretch before them. ``declared`` is
     the two-letter code that the label names, or null. Null, empty and blank texts and those without words give no row.
-    Repeated rows count once. Without any valid label in the corpus nothing can be learned and the result is empty.
+    Repeated rows count once. A language needs LEAST_TEXTS labelled texts to be
+    learned, whatever its share; without any such language nothing can be learned and the result is empty.
     """
     spark = docs.sparkSession
     repo, source = host_cols
@@ -188,9 +193,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def count_declared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield _tally((d, line_features(line)) for t, d in zip(b["t"], b["declared"]) for _, line in text_lines(t))
+            yield _tally((d, np.concatenate([np.empty(0, dtype=np.int32), *(line_features(line) for _, line in text_lines(t))])) for t, d in zip(b["t"], b["declared"]))
 
-    first = _model(rows.where("declared is not null").mapInPandas(count_declared, "lang string, bucket int, n long"))
+    first = _model(rows.where("declared is not null").mapInPandas(count_declared, "lang string, bucket int, n long"), LEAST_TEXTS)
     if first is None:
         return spark.createDataFrame([], f"id {id_type}, line_no int, lang string, confidence double, declared string")
     shared_first = spark.sparkContext.broadcast(first)

@@ -31,3 +31,11 @@ def test_labels():
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, EN[0], None, "s", "r")], "doc_id long, text string, lang string, source string, repo string")
     assert G.identify(df).count() == 0 and G.identify(df.limit(0)).count() == 0
+
+
+def test_rare_languages_are_kept(spark):
+    rows = [(i, " ".join(EN) * 60, "en", "s", "r") for i in range(100)] + [(900 + i, RU[i % 2], "ru", "s", "r") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, repo string")
+    found = G.identify(df)
+    assert {r["id"] for r in found.where("lang = 'ru'").collect()} == {900, 901, 902, 903}
+    assert G.mislabelled(found).count() == 0
