@@ -1,8 +1,9 @@
 """Languages of documents and of the one-language stretches inside them.
 
 Bayesian fusion of the evidence: the likelihood of a line's words and character trigrams under naive Bayes
-models, the declared label with its measured reliability, and the priors of the place (repository and source) smoothed
-towards repository and corpus, all counted by grouped aggregation. The models start from the declared labels and are
+models, the declared label with its reliability in its place (repository and source), measured as the share of labels that agree
+with the language assigned by the text, and the priors of the place, counted from the assigned languages; both are smoothed
+towards repository and corpus and counted by grouped aggregation. The models start from the declared labels and are
 counted once more from the lines' own assignments, which corrects wrong labels and mixed documents. Lines of a
 document are then assigned together by dynamic programming with a price for a change of language.
 """
@@ -22,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcweave.session import Scratch
+
 #: Two-letter code, three-letter codes and English name of languages that a label may name. Fixed values.
 NAMES = """en eng english; de deu ger german; fr fra fre french; es spa spanish; pt por portuguese; it ita italian; nl nld dut dutch; pl pol polish; ru rus russian; tr tur turkish; ja jpn japanese; zh zho chi cmn chinese;
 ar ara arabic; ko kor korean; sv swe swedish; da dan danish; no nor nob nno norwegian; fi fin finnish; cs ces cze czech; sk slk slo slovak; hu hun hungarian; ro ron rum romanian; bg bul bulgarian; uk ukr ukrainian; el ell gre greek; he heb hebrew; hi hin hindi; bn ben bengali; th tha thai; vi vie vietnamese; id ind indonesian; ms msa may malay; fa fas per persian; hr hrv croatian; sr srp serbian; sl slv slovenian; lt lit lithuanian; lv lav latvian; et est estonian; ca cat catalan; eu eus baq basque; gl glg galician; ga gle irish; is isl ice icelandic; mt mlt maltese; sq sqi alb albanian; mk mkd mac macedonian; be bel belarusian; ka kat geo georgian; hy hye arm armenian; ur urd urdu; ta tam tamil; te tel telugu; sw swa swahili; af afr afrikaans; la lat latin; fil tl tgl tagalog filipino"""
@@ -201,29 +204,43 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared_first = spark.sparkContext.broadcast(first)
 
     def count_assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each row with the language that most of its text's features are assigned to, and the tally of the lines."""
         m = shared_first.value
         for b in batches:
-            def assigned():
-                for t in b["t"]:
-                    lines = [f for _, line in text_lines(t) if len(f := line_features(line))]
-                    if lines:
-                        path = decode(np.array([m.scores(f) for f in lines]), m.prior)
-                        yield from ((m.langs[k], f) for k, f in zip(path, lines))
-            yield _tally(assigned())
-
-    second = _model(rows.mapInPandas(count_assigned, "lang string, bucket int, n long"))
+            found, main = [], []
+            for t in b["t"]:
+                lines = [f for _, line in text_lines(t) if len(f := line_features(line))]
+                n = np.zeros(len(m.langs))
+                if lines:
+                    path = decode(np.array([m.scores(f) for f in lines]), m.prior)
+                    found += [(m.langs[k], f) for k, f in zip(path, lines)]
+                    np.add.at(n, path, [len(f) for f in lines])
+                main.append(m.langs[int(n.argmax())] if lines else None)
+            yield b.assign(main=main, lang=None, bucket=None, n=None).astype({"bucket": "Int32", "n": "Int64"})
+            tally = _tally(iter(found))
+            yield tally.assign(**{c: None for c in b.columns}, main=None)[[*b.columns, "main", "lang", "bucket", "n"]]
+
+    # kept, so that the texts are assigned once
+    passed = Scratch(spark).keep(rows.mapInPandas(count_assigned, f"{', '.join(f'{x.name} {x.dataType.simpleString()}' for x in rows.schema)}, main string, lang string, bucket int, n long"))
+    second = _model(passed.where("bucket is not null").select("lang", "bucket", "n"))
     model = spark.sparkContext.broadcast(second or first)
     langs = (second or first).langs
+    rows = passed.where("bucket is null").select(*rows.columns, "main")
+
+    # languages and right labels of the place, smoothed towards the repository and the corpus
+    known = rows.where(F.col("main").isin(langs))
+    right = (F.col("declared") == F.col("main")).cast("long")
 
-    # priors of the place, smoothed towards the repository and the corpus
-    known = rows.where(F.col("declared").isin(langs))
     def shares(keys: list[str], name: str) -> DataFrame:
-        counts = known.groupBy(*keys, "declared").agg(F.count("*").alias("n")) if keys else known.groupBy("declared").agg(F.count("*").alias("n"))
-        return counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("declared", "n"))).alias(name))
-    total = {r["declared"]: r["n"] for r in known.groupBy("declared").agg(F.count("*").alias("n")).collect()}
+        counts = known.groupBy(*keys, "main").agg(F.count("*").alias("n"), F.count("declared").alias("labels"), F.coalesce(F.sum(right), F.lit(0)).alias("right"))
+        return counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("main", "n"))).alias(name), F.sum("labels").alias(f"{name}_labels"), F.sum("right").alias(f"{name}_right"))
+
+    corpus = shares([], "all").first()
+    total = corpus["all"] or {}
     placed = rows.join(shares(["repo"], "by_repo"), "repo", "left").join(shares(["repo", "source"], "by_place"), ["repo", "source"], "left")
     base = np.array([total.get(x, 0) + 1.0 for x in langs])
     base /= base.sum()
+    trusted = ((corpus["all_right"] or 0) + 17) / ((corpus["all_labels"] or 0) + 20)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, at = model.value, {x: i for i, x in enumerate(langs)}
@@ -236,15 +253,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
         for b in batches:
             out = []
-            for i, t, d, r, p in zip(b["id"], b["t"], b["declared"], b["by_repo"], b["by_place"]):
+            places = b[["by_repo_labels", "by_repo_right", "by_place_labels", "by_place_right"]].fillna(0).to_numpy(dtype=float)
+            for i, t, d, g, r, p, (rn, rr, pn, pr) in zip(b["id"], b["t"], b["declared"], b["main"], b["by_repo"], b["by_place"], places):
                 repo_n, place_n = counts(r), counts(p)
                 own = np.zeros(len(langs))
-                if d in at:  # the document's own label is evidence of its own, not of its place
-                    own[at[d]] = 1
+                if g in at:  # the document is no evidence of its own place
+                    own[at[g]] = 1
+                    label, hit = float(d is not None), float(d == g)
+                    rn, rr, pn, pr = rn - label, rr - hit, pn - label, pr - hit
                 by_repo = (np.maximum(repo_n - own, 0) + 20 * base) / (max(0, repo_n.sum() - own.sum()) + 20)
                 prior = np.log((np.maximum(place_n - own, 0) + 10 * by_repo) / (max(0, place_n.sum() - own.sum()) + 10))
                 if d in at:
-                    prior += np.where(np.arange(len(langs)) == at[d], np.log(0.85), np.log(0.15 / max(1, len(langs) - 1)))
+                    right_in_place = (pr + 10 * (rr + 20 * trusted) / (rn + 20)) / (pn + 10)
+                    other = max(1 - right_in_place, 1e-3) / max(1, len(langs) - 1)
+                    prior += np.log(np.where(np.arange(len(langs)) == at[d], max(right_in_place, 1e-3), other))
                 out += [(i, n, lang, c, d) for n, lang, c in stretches(t, m, prior)]
             yield pd.DataFrame(out, columns=["id", "line_no", "lang", "confidence", "declared"])
 

@@ -39,3 +39,13 @@ def test_rare_languages_are_kept(spark):
     found = G.identify(df)
     assert {r["id"] for r in found.where("lang = 'ru'").collect()} == {900, 901, 902, 903}
     assert G.mislabelled(found).count() == 0
+
+
+def test_labels_of_a_place_weigh_as_often_as_they_are_right(spark):
+    rows = [(i, EN[i % 4] + " " + EN[(i + 1) % 4], "en", "s", "good") for i in range(60)] + [(100 + i, DE[i % 4] + " " + DE[(i + 1) % 4], "de", "s", "good") for i in range(60)]
+    rows += [(200 + i, DE[i % 4] + " " + DE[(i + 1) % 4], "en", "hot", "bad") for i in range(50)]
+    rows += [(300, "Name", "en", "hot", "bad"), (301, "Name", "en", "s", "good"), (302, "Name", "de", "s", "good")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, repo string")
+    got = {r["id"]: r["lang"] for r in G.identify(df).collect()}
+    assert all(got[200 + i] == "de" for i in range(50))
+    assert (got[300], got[301], got[302]) == ("de", "en", "de")
