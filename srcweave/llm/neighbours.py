@@ -2,10 +2,11 @@
 
 Unit vectors are projected on a few Gaussian directions. For two vectors at distance d, the squared
 projected distance over d^2 is chi-square with as many degrees of freedom, whatever the data. A kd-tree
-over the projections (its upper levels spread the collection over the cluster, its lower levels
-are built in each task) gives boxes in order of projected distance; candidates are verified
-at full width. A query stops at the box whose projected distance says that nothing behind it can be
-closer than its k-th neighbour so far, except with probability ``miss``.
+over the projections cuts a collection into leaves of about ``LEAF`` vectors, each searched in a task of its own.
+A query is searched in its own leaf first, which gives its k-th distance so far; it then visits only the leaves whose
+bounding boxes say that a closer vector may lie there: it stops at the box whose projected distance shows that nothing in
+it or behind it is closer than the k-th neighbour, except with probability ``miss``. Inside a leaf the same test runs over
+boxes of ``BUCKET`` vectors. Candidates are verified at full width.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from srcweave.session import Scratch
 
-DIMS, MISS, SEED = 10, 0.003, 20_240_501
-LEAF, BUCKET, QUERIES_PER_TASK = 16_384, 64, 65_536
-#: Rows of a collection that the upper tree is fitted on; every row is indexed.
-SAMPLE = 4_096
+DIMS, MISS, SEED = 6, 0.005, 20_240_501
+LEAF, BUCKET, QUERIES_PER_TASK = 4_096, 64, 65_536
+#: Leaves of all collections together; beyond LEAF times so many vectors leaves hold more, so boxes and splits that travel to all tasks keep to about 30 MB.
+MOST_LEAVES = 1 << 18
+#: Rows of a cell that a tree is fitted on, at least and at most, 16 a leaf in between; every row is indexed.
+SAMPLE, MOST_SAMPLE = 4_096, 65_536
 
 
 def chi2_quantile(p: float, dof: int) -> float:
@@ -77,20 +80,12 @@ def upper_tree(points: np.ndarray, depth: int) -> tuple[list[int], list[float]]:
     return dims, vals
 
 
-def route(x: np.ndarray, dims: list[int], vals: list[float], radius2: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) for the leaves whose boxes are within the radius of each row; radius 0: the leaf that holds it."""
-    row, node, off = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros_like(x)
-    inner = len(dims)
+def route(x: np.ndarray, dims: np.ndarray, vals: np.ndarray) -> np.ndarray:
+    """The leaf that holds each row."""
+    node, inner = np.zeros(len(x), dtype=np.int64), len(dims)
     while len(node) and node[0] < inner:
-        d, v = np.array(dims)[node], np.array(vals)[node]
-        delta = x[row, d] - v
-        right = delta > 0
-        far = off.copy()
-        far[np.arange(len(row)), d] = np.abs(delta)
-        near_node, far_node = 2 * node + 1 + right, 2 * node + 2 - right
-        keep = (far**2).sum(1) <= radius2 if radius2 > 0 else np.zeros(len(row), dtype=bool)
-        row, node, off = np.concatenate([row, row[keep]]), np.concatenate([near_node, far_node[keep]]), np.concatenate([off, far[keep]])
-    return row, node - inner
+        node = 2 * node + 1 + (x[np.arange(len(x)), dims[node]] > vals[node])
+    return node - inner
 
 
 def buckets(p: np.ndarray, size: int = BUCKET) -> list[np.ndarray]:
@@ -108,14 +103,14 @@ def buckets(p: np.ndarray, size: int = BUCKET) -> list[np.ndarray]:
     return out
 
 
-def search(q: np.ndarray, qp: np.ndarray, x: np.ndarray, xp: np.ndarray, k: int, most: float, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, squared distance) of each query's k nearest points within ``most``; self included."""
+def search(q: np.ndarray, qp: np.ndarray, x: np.ndarray, xp: np.ndarray, k: int, most: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, squared distance) of each query's k nearest points within its ``most``; self included."""
     leaves = buckets(xp)
     lo, hi = np.array([xp[a].min(0) for a in leaves]), np.array([xp[a].max(0) for a in leaves])
     found = []
     for block in buckets(qp):
         b, bp = q[block], qp[block]
-        bound = np.full(len(block), most)
+        bound = most[block].copy()
         # distance of each query to each bucket's box, nearest boxes first
         gap = np.maximum(np.maximum(lo[None] - bp[:, None], bp[:, None] - hi[None]), 0)
         box = np.einsum("qlm,qlm->ql", gap, gap)
@@ -144,12 +139,77 @@ def search(q: np.ndarray, qp: np.ndarray, x: np.ndarray, xp: np.ndarray, k: int,
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0),)
 
 
+class Cells:
+    """Nested kd-trees per collection; a vector's cell is the leaf that its projection falls into, 0 without a tree."""
+
+    def __init__(self) -> None:
+        self.trees: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, collection: str, p: np.ndarray) -> np.ndarray:
+        cell, todo = np.zeros(len(p), dtype=np.int64), [(0, np.arange(len(p)))]
+        while todo:
+            at, rows = todo.pop()
+            tree = self.trees.get((collection, at))
+            if tree is None or not len(rows):
+                cell[rows] = at
+                continue
+            below = at * (MOST_SAMPLE + 1) + route(p[rows], *tree) + 1
+            todo += [(int(c), rows[below == c]) for c in np.unique(below)]
+        return cell
+
+
+def fit_cells(points: DataFrame, sizes: DataFrame, width: int, leaf: int) -> Cells:
+    """Trees for the collections of ``sizes`` (collection, total), refitted below where the sample bounded their depth."""
+    cells, spark = Cells(), points.sparkSession
+    big = [(r["collection"], 0, r["total"]) for r in sizes.where(F.col("total") > leaf).collect()]  # at most vectors / leaf rows
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        wanted = math.ceil(math.log2(g["total"].iloc[0] / leaf))
+        depth = max(1, min(wanted, int(math.log2(len(g) / 16)) if len(g) > 32 else 1))
+        dims, vals = upper_tree(unit(g["v"]) @ directions(width), depth)
+        return pd.DataFrame({"collection": [g["collection"].iloc[0]], "cell": [g["cell"].iloc[0]], "short": [wanted > depth], "dims": [dims], "vals": [vals]})
+
+    while big:
+        so_far = spark.sparkContext.broadcast(cells)
+        wide = spark.createDataFrame(big, "collection string, cell long, total long")
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for c, g in b.groupby("collection", sort=False):
+                    yield g.assign(cell=so_far.value.of(c, unit(g["v"]) @ directions(width)))
+
+        mine = points.join(wide.select("collection").distinct(), "collection", "left_semi").select("collection", "h1", "v")
+        placed = mine.mapInPandas(place, "collection string, h1 long, v array<float>, cell long") if cells.trees else mine.withColumn("cell", F.lit(0).cast("long"))
+        few = F.greatest(F.lit(SAMPLE), F.least(F.lit(MOST_SAMPLE), F.ceil(F.col("total") / leaf) * 16))
+        picked = placed.join(wide, ["collection", "cell"]).where(F.pmod(F.xxhash64("h1"), F.col("total")) < few)
+        fitted = picked.groupBy("collection", "cell").applyInPandas(fit, "collection string, cell long, short boolean, dims array<int>, vals array<double>").collect()
+        fresh = Cells()
+        fresh.trees = cells.trees | {(r["collection"], r["cell"]): (np.array(r["dims"]), np.array(r["vals"])) for r in fitted}
+        short = [(r["collection"],) for r in fitted if r["short"]]
+        cells, big = fresh, []
+        if short:
+            again = spark.sparkContext.broadcast(cells)
+
+            def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    for c, g in b.groupby("collection", sort=False):
+                        yield pd.DataFrame({"collection": c, "cell": again.value.of(c, unit(g["v"]) @ directions(width))})
+
+            counted = points.join(spark.createDataFrame(short, "collection string").distinct(), "collection", "left_semi").select("collection", "v").mapInPandas(count, "collection string, cell long")
+            big = [tuple(r) for r in counted.groupBy("collection", "cell").agg(F.count("*").alias("total")).where(F.col("total") > 2 * leaf).collect() if (r[0], r[1]) not in cells.trees]
+    return cells
+
+
+POINT = "collection string, h1 long, h2 long, rep string, ids array<string>, v array<float>"
+HIT = "collection string, h1 long, h2 long, rep string, other string, similarity double, shared boolean, rank int"
+
+
 def top_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.85, width: int = 64, id_col: str = "id", group_col: str = "collection", vector_col: str = "embedding", queries=None) -> DataFrame:
     """(collection, id, neighbour, similarity, rank): each vector's k most similar with cosine >= ``least``.
 
-    Only vectors with ``width`` finite numbers, not all zero, take part; repeated ids count once
-    (of different vectors of an id, the one with the smallest hash); a null collection is the
-    collection ''. Equal similarities rank by id. Vectors that are equal number for number form a
+    Only vectors with ``width`` finite numbers, not all zero, take part; repeated rows count once; an id with different
+    vectors takes part with each of them, its neighbours are those of all its vectors, at their best similarity. A null
+    collection is the collection ''. Equal similarities rank by id. Vectors that are equal number for number form a
     class that is searched once: its k + 1 smallest ids stand for it as neighbours, which is exact,
     as larger ids can't rank before them. ``queries`` is an optional condition on the id column for
     which rows to search.
@@ -158,86 +218,137 @@ def top_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.85, width: i
     rows = usable(vectors, width, id_col, group_col, vector_col)
     keys = ["collection", "id", "h1", "h2"]
     scratch = Scratch(spark)
-    picked = scratch.keep(rows.groupBy("collection", "id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("collection", "id", "h.h1", "h.h2"))
+    picked = scratch.keep(rows.select(keys).distinct())
+    # different vectors of one id; with them, so many more entries are needed for k other ids
+    versions = picked.groupBy("collection", "id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    want = (k + 1) * versions
     # the k + 1 smallest ids of each class, first by salt, as a class may be large
     salted = picked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
     firsts = salted.withColumn("n", F.row_number().over(Window.partitionBy("collection", "h1", "h2", "salt").orderBy("id"))).where(F.col("n") <= k + 1)
-    classes = scratch.keep(firsts.groupBy("collection", "h1", "h2").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("rep", F.col("ids")[0]))
-    others = rows.select(keys).distinct().join(classes.select("collection", F.col("rep").alias("id"), "h1", "h2"), keys, "left_anti")
-    several = scratch.keep(classes.where(F.size("ids") > 1).select("collection", "rep", "ids"))
-    searched = rows.join(scratch.keep(others), keys, "left_anti").select("collection", F.col("id").alias("rep"), "v")
-
-    counts = classes.groupBy("collection").agg(F.count("*").alias("total")).where(F.col("total") > LEAF)
-    part = searched.join(F.broadcast(counts), "collection").withColumn("n", F.row_number().over(Window.partitionBy("collection", F.pmod(F.xxhash64("rep"), F.lit(16))).orderBy(F.xxhash64("rep", F.lit(7))))).where(F.col("n") <= SAMPLE // 16)
-    stop = chi2_quantile(1 - MISS, DIMS)
-    most = 2 - 2 * least
+    classes = scratch.keep(firsts.groupBy("collection", "h1", "h2").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids")))
+    several = scratch.keep(classes.where(F.size("ids") > 1))
+    others = scratch.keep(picked.join(several, ["collection", "h1", "h2"]).where(F.col("id") != F.col("ids")[0]).select(keys))
+    points = rows.join(others, keys, "left_anti").withColumnRenamed("id", "rep").join(several, ["collection", "h1", "h2"], "left").select("collection", "h1", "h2", "rep", "ids", "v")
+
+    sizes = scratch.keep(classes.groupBy("collection").agg(F.count("*").alias("total")))
+    leaf = max(LEAF, (sizes.agg(F.sum("total")).first()[0] or 0) // MOST_LEAVES)
+    cells = fit_cells(points, sizes, width, leaf)
+    split = {c for c, _ in cells.trees}
+    tree = spark.sparkContext.broadcast(cells)
+    stop, most = chi2_quantile(1 - MISS, DIMS), 2 - 2 * least
+    # a class is searched for any of its ids; the condition is applied to its members below
+    wanted = F.lit(True) if queries is None else queries(F.col("rep")) | F.col("ids").isNotNull()
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        depth = math.ceil(math.log2(max(1, g["total"].iloc[0] / LEAF)))
-        dims, vals = upper_tree(unit(g["v"]) @ directions(width), min(depth, int(math.log2(max(2, len(g))))))
-        return pd.DataFrame({"collection": [g["collection"].iloc[0]], "total": [g["total"].iloc[0]], "dims": [dims], "vals": [vals]})
-
-    # 12 bytes per LEAF rows of the collections above one leaf, at most SAMPLE splits each
-    trees = {}
-    if not counts.isEmpty():
-        fitted = part.groupBy("collection").applyInPandas(fit, "collection string, total long, dims array<int>, vals array<double>")
-        trees = {r["collection"]: (list(r["dims"]), list(r["vals"]), math.ceil(r["total"] / QUERIES_PER_TASK)) for r in fitted.collect()}
-    shared = spark.sparkContext.broadcast(trees)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c, g in b.groupby("collection", sort=False):
-                dims, vals, tasks = shared.value.get(c, ([], [], 1))
-                task = pd.util.hash_array(g["rep"].to_numpy(dtype=object)).astype(np.uint64) % np.uint64(tasks)
-                base = g[["collection", "rep", "ids", "v"]]
-                if not dims:
-                    yield base.assign(leaf=0, task=0, point=True, query=g["wanted"].to_numpy())
-                    continue
-                p = unit(g["v"]) @ directions(width)
-                home = route(p, dims, vals, 0.0)[1]
-                for t in range(tasks):
-                    yield base.assign(leaf=home, task=t, point=True, query=g["wanted"].to_numpy() & (task == t))
-                row, leaf = route(p, dims, vals, stop * most)
-                away = (leaf != home[row]) & g["wanted"].to_numpy()[row]
-                yield base.iloc[row[away]].assign(leaf=leaf[away], task=task[row[away]].astype(np.int64), point=False, query=True)
+                yield g.assign(leaf=tree.value.of(c, unit(g["v"]) @ directions(width)))
 
-    # a class is searched for any of its ids; the condition is applied to its members below
-    wanted = F.lit(True) if queries is None else queries(F.col("rep")) | F.col("ids").isNotNull()
-    placed = searched.join(several, ["collection", "rep"], "left").withColumn("wanted", wanted).mapInPandas(spread, "collection string, rep string, ids array<string>, v array<float>, leaf long, task long, point boolean, query boolean")
+    placed = points.withColumn("wanted", wanted)
+    placed = placed.mapInPandas(home, f"{POINT}, wanted boolean, leaf long") if split else placed.withColumn("leaf", F.lit(0).cast("long"))
 
-    def look(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["rep", "point"], ascending=[True, False]).drop_duplicates("rep")
-        q, x = g[g["query"]], g[g["point"]]
-        if not len(q) or not len(x):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("collection", object), ("rep", object), ("other", object), ("similarity", float), ("copies", bool), ("rank", int))})
+    def hits(q: pd.DataFrame, x: pd.DataFrame, bound: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        """(HIT rows, squared distance of the last wanted neighbour of each query, at most ``bound``)"""
         qv, xv, r = unit(q["v"]), unit(x["v"]), directions(width)
-        qi, xi, d2 = search(qv, qv @ r, xv, xv @ r, k + 1, most, stop)
+        qi, xi, d2 = search(qv, qv @ r, xv, xv @ r, want, bound, stop)
+        last = bound.copy()
+        full = np.bincount(qi, minlength=len(q)) >= want
+        far = np.zeros(len(q))
+        np.maximum.at(far, qi, d2)
+        last[full] = np.minimum(last, far)[full]
         # classes become ids; the own class is found as the point itself and counts as similarity 1
-        names, own = x["rep"].to_numpy(), q["rep"].to_numpy()
-        near = pd.DataFrame({"rep": own[qi], "other": names[xi], "similarity": np.round(np.where(own[qi] == names[xi], 1.0, 1 - d2 / 2), 12)})
-        copies = {r: list(i) for r, i in zip(x["rep"], x["ids"]) if i is not None}
-        if copies:
-            near["other"] = [copies.get(o, [o]) for o in near["other"]]
-            near = near.explode("other")
-        near["copies"] = near["rep"].isin(set(q["rep"][q["ids"].notna()]))
-        near = near[(near["similarity"] >= least) & (near["copies"] | (near["rep"] != near["other"]))].sort_values(["rep", "similarity", "other"], ascending=[True, False, True])
-        near["rank"] = near.groupby("rep").cumcount()
-        near = near[near["rank"] < k + near["copies"]]
-        name = np.full(len(near), q["collection"].iloc[0], dtype=object)
-        return pd.DataFrame({"collection": name, "rep": near["rep"].to_numpy(dtype=object), "other": near["other"].to_numpy(dtype=object), **{c: near[c].to_numpy() for c in ("similarity", "copies", "rank")}})
-
-    near = placed.groupBy("collection", "leaf", "task").applyInPandas(look, "collection string, rep string, other string, similarity double, copies boolean, rank int")
-    if trees:
-        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("collection", "rep").orderBy(F.desc("similarity"), "other")) - 1).where(F.col("rank") < k + F.col("copies").cast("int"))
-    single = near.where("not copies").select("collection", F.col("rep").alias("id"), F.col("other").alias("neighbour"), "similarity", (F.col("rank") + 1).alias("rank"))
+        same = (q["h1"].to_numpy()[qi] == x["h1"].to_numpy()[xi]) & (q["h2"].to_numpy()[qi] == x["h2"].to_numpy()[xi])
+        near = pd.DataFrame({"q": qi, "rep": q["rep"].to_numpy(dtype=object)[qi], "similarity": np.round(np.where(same, 1.0, 1 - d2 / 2), 12)})
+        names = x["rep"].to_numpy(dtype=object)[xi]
+        many = {i: list(c) for i, c in enumerate(x["ids"]) if c is not None}
+        near["other"] = [many.get(i, [n]) for i, n in zip(xi, names)] if many else names
+        near = near.explode("other") if many else near
+        near["shared"] = q["ids"].notna().to_numpy()[near["q"]]
+        near = near[(near["similarity"] >= least) & (near["shared"] | (near["rep"] != near["other"]))].sort_values(["q", "similarity", "other"], ascending=[True, False, True])
+        near["rank"] = near.groupby("q").cumcount()
+        near = near[near["rank"] < np.where(near["shared"] | (versions > 1), want, k)]
+        out = {c: q[c].to_numpy()[near["q"]] for c in ("collection", "h1", "h2")}
+        return pd.DataFrame(out | {c: near[c].to_numpy() for c in ("rep", "other", "similarity", "shared", "rank")}), last
+
+    def at_home(g: pd.DataFrame) -> pd.DataFrame:
+        """The hits in the own leaf; for split collections also each query with its bound and the leaf's box."""
+        x = g.drop_duplicates(["h1", "h2"]).reset_index(drop=True)
+        q = x[x["wanted"]].reset_index(drop=True)
+        near, last = hits(q, x, np.full(len(q), most)) if len(q) else (pd.DataFrame(columns=[c.split()[0] for c in HIT.split(", ")]), None)
+        c, at = x["collection"].iloc[0], x["leaf"].iloc[0]
+        parts = [near]
+        if c in split:
+            p = unit(x["v"]) @ directions(width)
+            parts += [q[["collection", "h1", "h2", "rep", "ids", "v"]].assign(bound=last)] if len(q) else []
+            parts += [pd.DataFrame({"collection": [c], "h1": [0], "h2": [0], "box": [np.concatenate([p.min(0), p.max(0)])]})]
+        out = pd.concat(parts).reindex(columns=[x.split()[0] for x in f"{HIT}, ids, v, bound, box".split(", ")]).assign(leaf=at).astype({"h1": "int64", "h2": "int64", "rank": "Int32", "shared": "boolean"})
+        return out.assign(**{a: out[a].astype(object).where(out[a].notna(), None) for a in ("ids", "v", "box")})
+
+    own = placed.groupBy("collection", "leaf").applyInPandas(at_home, f"{HIT}, ids array<string>, v array<float>, bound double, box array<double>, leaf long")
+    near = own.where("other is not null").select(*[c.split()[0] for c in HIT.split(", ")])
+    if split:
+        own = scratch.keep(own)
+        near = own.where("other is not null").select(near.columns)
+        away = _away(own, placed, stop, hits, width)
+        far = near.where(F.col("collection").isin(*split)) if len(split) <= 1_000 else near
+        ranked = far.unionByName(away).withColumn("rank", F.row_number().over(Window.partitionBy("collection", "h1", "h2").orderBy(F.desc("similarity"), "other")) - 1)
+        ranked = ranked.where(F.col("rank") < F.when(F.col("shared") | F.lit(versions > 1), want).otherwise(k))
+        near = ranked if len(split) > 1_000 else near.where(~F.col("collection").isin(*split)).unionByName(ranked)
+    single = near.where("not shared").select("collection", F.col("rep").alias("id"), F.col("other").alias("neighbour"), "similarity", (F.col("rank") + 1).alias("rank"))
     # every member of a class takes the class's neighbours without itself
-    members = picked.join(classes.where(F.size("ids") > 1).select("collection", "h1", "h2", "rep"), ["collection", "h1", "h2"]).select("collection", "id", "rep")
+    members = picked.join(several.select("collection", "h1", "h2"), ["collection", "h1", "h2"])
     if queries is not None:
         members = members.where(queries(F.col("id")))
         single = single.where(queries(F.col("id")))
-    lists = near.where("copies").groupBy("collection", "rep").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "similarity"))).alias("near"))
-    each = members.join(lists, ["collection", "rep"]).select("collection", "id", F.posexplode(F.slice(F.filter("near", lambda n: n["other"] != F.col("id")), 1, k)).alias("pos", "n"))
-    return single.unionByName(each.select("collection", "id", F.col("n.other").alias("neighbour"), "n.similarity", (F.col("pos") + 1).alias("rank")))
+    lists = near.where("shared").groupBy("collection", "h1", "h2").agg(F.array_sort(F.collect_list(F.struct("rank", "other", "similarity"))).alias("near"))
+    each = members.join(lists, ["collection", "h1", "h2"]).select("collection", "id", F.posexplode(F.slice(F.filter("near", lambda n: n["other"] != F.col("id")), 1, want if versions > 1 else k)).alias("pos", "n"))
+    out = single.unionByName(each.select("collection", "id", F.col("n.other").alias("neighbour"), "n.similarity", (F.col("pos") + 1).alias("rank")))
+    if versions > 1:
+        best = out.groupBy("collection", "id", "neighbour").agg(F.max("similarity").alias("similarity"))
+        out = best.withColumn("rank", F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("rank") <= k)
+    return out
+
+
+def _away(own: DataFrame, placed: DataFrame, stop: float, hits, width: int) -> DataFrame:
+    """HIT rows of the queries in the leaves besides their own that their bounds reach.
+
+    Queries travel once per leaf visited, points once per QUERIES_PER_TASK queries of their leaf.
+    """
+    spark = own.sparkSession
+    found = own.where("box is not null").select("collection", "leaf", "box").collect()  # at most about MOST_LEAVES rows
+    by: dict[str, list] = {}
+    for r in found:
+        by.setdefault(r["collection"], []).append((r["leaf"], r["box"]))
+    boxes = spark.sparkContext.broadcast({c: (np.array([x for x, _ in v]), np.array([b for _, b in v])) for c, v in by.items()})
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for c, g in b.groupby("collection", sort=False):
+                ids, box = boxes.value[c]
+                p, reach = unit(g["v"]) @ directions(width), stop * g["bound"].to_numpy()
+                for i in range(0, len(ids), 4_096):
+                    gap = np.zeros((len(g), len(ids[i : i + 4_096])))
+                    for d in range(p.shape[1]):
+                        lo, hi = box[i : i + 4_096, d], box[i : i + 4_096, d + p.shape[1]]
+                        gap += np.maximum(np.maximum(lo[None] - p[:, d : d + 1], p[:, d : d + 1] - hi[None]), 0) ** 2
+                    at, to = np.nonzero((gap <= reach[:, None]) & (ids[i : i + 4_096][None] != g["leaf"].to_numpy()[:, None]))
+                    for s in range(0, len(at), 10_000):
+                        yield g.iloc[at[s : s + 10_000]].assign(leaf=ids[i + to[s : s + 10_000]])
+
+    asked = own.where("bound is not null").select("collection", "h1", "h2", "rep", "ids", "v", "bound", "leaf")
+    sent = asked.mapInPandas(visits, f"{POINT}, bound double, leaf long")
+    # the visits are counted first, so that no task gets more than about QUERIES_PER_TASK of them
+    parts = Scratch(spark).keep(sent.groupBy("collection", "leaf").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("parts")))
+    there = placed.join(parts, ["collection", "leaf"]).select("collection", "h1", "h2", "rep", "ids", "v", F.lit(None).cast("double").alias("bound"), "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("h1"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    both = sent.join(parts, ["collection", "leaf"]).withColumn("part", part).drop("parts").unionByName(there)
+
+    def visit(g: pd.DataFrame) -> pd.DataFrame:
+        q = g[g["bound"].notna()].drop_duplicates(["h1", "h2"]).reset_index(drop=True)
+        x = g[g["bound"].isna()].drop_duplicates(["h1", "h2"]).reset_index(drop=True)
+        return hits(q, x, q["bound"].to_numpy())[0] if len(q) and len(x) else pd.DataFrame(columns=[c.split()[0] for c in HIT.split(", ")])
+
+    return both.groupBy("collection", "leaf", "part").applyInPandas(visit, HIT)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, **columns) -> DataFrame:

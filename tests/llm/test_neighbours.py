@@ -38,6 +38,27 @@ def test_recall_against_brute_force(spark, monkeypatch, leaf):
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_cells_are_refitted_where_the_sample_was_too_small(spark, monkeypatch):
+    for name, value in (("LEAF", 16), ("SAMPLE", 40), ("MOST_SAMPLE", 64)):
+        monkeypatch.setattr(N, name, value)
+    rows = vectors()
+    df = spark.createDataFrame(rows, "id string, collection string, embedding array<float>")
+    points = N.usable(df, 64, "id", "collection", "embedding")
+    cells = N.fit_cells(points, points.groupBy("collection").count().withColumnRenamed("count", "total"), 64, 16)
+    assert {at > 0 for c, at in cells.trees if c == "c"} == {True, False}
+    got, want = {tuple(r) for r in N.similar_pairs(df).collect()}, brute(rows)
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+@pytest.mark.parametrize("leaf", [2, 4_096])
+def test_an_id_with_different_vectors_keeps_the_links_of_each(spark, monkeypatch, leaf):
+    monkeypatch.setattr(N, "LEAF", leaf)
+    e = np.eye(64, dtype=np.float32)
+    rows = [("a", "c", e[0]), ("a", "c", e[1]), ("b", "c", e[0] + 0.1 * e[5]), ("d", "c", e[1] + 0.1 * e[6]), ("f", "c", e[1]), ("g", "c", e[9])]
+    df = spark.createDataFrame([(i, c, [float(x) for x in v]) for i, c, v in rows], "id string, collection string, embedding array<float>")
+    assert {tuple(r) for r in N.similar_pairs(df).collect()} == {("a", "b"), ("a", "d"), ("a", "f"), ("d", "f")}
+
+
 def test_a_query_set_is_searched_against_all(spark):
     df = spark.createDataFrame(vectors(), "id string, collection string, embedding array<float>")
     some = N.top_neighbours(df, queries=lambda i: i.cast("int") % 20 == 0)
