@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from srcweave.session import Scratch
 
-DIMS, MISS, SEED = 6, 0.005, 20_240_501
-LEAF, BUCKET, QUERIES_PER_TASK = 4_096, 64, 65_536
+DIMS, MISS, SEED = 8, 0.003, 20_240_501
+LEAF, BUCKET, QUERIES_PER_TASK = 8_192, 64, 65_536
 #: Leaves of all collections together; beyond LEAF times so many vectors leaves hold more, so boxes and splits that travel to all tasks keep to about 30 MB.
 MOST_LEAVES = 1 << 18
 #: Rows of a cell that a tree is fitted on, at least and at most, 16 a leaf in between; every row is indexed.
@@ -126,7 +126,10 @@ def search(q: np.ndarray, qp: np.ndarray, x: np.ndarray, xp: np.ndarray, k: int,
             at = np.concatenate([leaves[i] for i in part])
             near = (bp**2).sum(1)[:, None] + (xp[at] ** 2).sum(1)[None] - 2 * bp @ xp[at].T
             qi, pi = np.nonzero(near <= stop * bound[:, None])
-            d2 = ((b[qi] - x[at[pi]]) ** 2).sum(1)
+            if len(qi) * 16 > near.size:  # many candidates: all products at once
+                d2 = np.maximum(2 - 2 * (b @ x[at].T)[qi, pi], 0)
+            else:
+                d2 = ((b[qi] - x[at[pi]]) ** 2).sum(1)
             ok = d2 <= bound[qi] + 1e-12
             if ok.any():
                 rows = [np.concatenate([a, n]) for a, n in zip(rows, (qi[ok], at[pi[ok]], d2[ok]))]
