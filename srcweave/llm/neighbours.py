@@ -285,7 +285,7 @@ def top_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.85, width: i
             parts += [q[["collection", "h1", "h2", "rep", "ids", "v"]].assign(bound=last)] if len(q) else []
             parts += [pd.DataFrame({"collection": [c], "h1": [0], "h2": [0], "box": [np.concatenate([p.min(0), p.max(0)])]})]
         out = pd.concat(parts).reindex(columns=[x.split()[0] for x in f"{HIT}, ids, v, bound, box".split(", ")]).assign(leaf=at).astype({"h1": "int64", "h2": "int64", "rank": "Int32", "shared": "boolean"})
-        return out.assign(**{a: out[a].astype(object).where(out[a].notna(), None) for a in ("ids", "v", "box")})
+        return out.assign(**{a: out[a].astype(object).where(out[a].notna(), None) for a in ("collection", "rep", "other", "ids", "v", "box")})
 
     own = placed.groupBy("collection", "leaf").applyInPandas(at_home, f"{HIT}, ids array<string>, v array<float>, bound double, box array<double>, leaf long")
     near = own.where("other is not null").select(*[c.split()[0] for c in HIT.split(", ")])
