@@ -207,6 +207,9 @@ POINT = "collection string, h1 long, h2 long, rep string, ids array<string>, v a
 HIT = "collection string, h1 long, h2 long, rep string, other string, similarity double, shared boolean, rank int"
 
 
+NONE = pd.DataFrame({"collection": pd.Series(dtype=object), "h1": pd.Series(dtype="int64"), "h2": pd.Series(dtype="int64"), "rep": pd.Series(dtype=object), "other": pd.Series(dtype=object), "similarity": pd.Series(dtype=float), "shared": pd.Series(dtype=bool), "rank": pd.Series(dtype="int32")})
+
+
 def top_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.85, width: int = 64, id_col: str = "id", group_col: str = "collection", vector_col: str = "embedding", queries=None) -> DataFrame:
     """(collection, id, neighbour, similarity, rank): each vector's k most similar with cosine >= ``least``.
 
@@ -268,6 +271,8 @@ def top_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.85, width: i
         near = near.explode("other") if many else near
         near["shared"] = q["ids"].notna().to_numpy()[near["q"]]
         near = near[(near["similarity"] >= least) & (near["shared"] | (near["rep"] != near["other"]))].sort_values(["q", "similarity", "other"], ascending=[True, False, True])
+        if not len(near):
+            return NONE, last
         near["rank"] = near.groupby("q").cumcount()
         near = near[near["rank"] < np.where(near["shared"] | (versions > 1), want, k)]
         out = {c: q[c].to_numpy()[near["q"]] for c in ("collection", "h1", "h2")}
@@ -277,7 +282,7 @@ def top_neighbours(vectors: DataFrame, k: int = 5, least: float = 0.85, width: i
         """The hits in the own leaf; for split collections also each query with its bound and the leaf's box."""
         x = g.drop_duplicates(["h1", "h2"]).reset_index(drop=True)
         q = x[x["wanted"]].reset_index(drop=True)
-        near, last = hits(q, x, np.full(len(q), most)) if len(q) else (pd.DataFrame(columns=[c.split()[0] for c in HIT.split(", ")]), None)
+        near, last = hits(q, x, np.full(len(q), most)) if len(q) else (NONE, None)
         c, at = x["collection"].iloc[0], x["leaf"].iloc[0]
         parts = [near]
         if c in split:
@@ -349,7 +354,7 @@ def _away(own: DataFrame, placed: DataFrame, stop: float, hits, width: int) -> D
     def visit(g: pd.DataFrame) -> pd.DataFrame:
         q = g[g["bound"].notna()].drop_duplicates(["h1", "h2"]).reset_index(drop=True)
         x = g[g["bound"].isna()].drop_duplicates(["h1", "h2"]).reset_index(drop=True)
-        return hits(q, x, q["bound"].to_numpy())[0] if len(q) and len(x) else pd.DataFrame(columns=[c.split()[0] for c in HIT.split(", ")])
+        return hits(q, x, q["bound"].to_numpy())[0] if len(q) and len(x) else NONE
 
     return both.groupBy("collection", "leaf", "part").applyInPandas(visit, HIT)
 
