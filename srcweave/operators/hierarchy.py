@@ -19,7 +19,6 @@ from srcweave.session import Scratch
 
 BLANKS = " \t\n\r\u000b\f\u00a0\u3000"
 CYCLE = "cycle"
-SEP = "\u001f"
 
 
 def clean_id(c: Column) -> Column:
@@ -48,11 +47,11 @@ def contract(tree: DataFrame, with_path: bool = False) -> DataFrame:
     """(id, root_id, depth, n_descendants[, path]) of every node of ``tree`` (id, parent).
 
     ``tree`` must hold each id once and only parents that are ids (see ``links``). Nodes on or
-    below a cycle get root_id 'cycle', depth -1, n_descendants -1 and a null path. The path lists
-    ids from the root to the node, joined by ``/``. An empty table gives an empty result.
+    below a cycle get root_id 'cycle', depth -1, n_descendants -1 and a null path. The path is the array of
+    ids from the root to the node. An empty table gives an empty result.
     """
     scratch = Scratch(tree.sparkSession)
-    via0 = F.lit("")
+    via0 = F.array().cast("array<string>")
     kids = tree.where("parent is not null").groupBy("parent").agg(F.count("*").alias("kids")).withColumnRenamed("parent", "p")
     start = tree.join(kids, F.col("id") == F.col("p"), "left").select(
         "id", "parent", F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(1).alias("len"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("carry"), via0.alias("via")
@@ -89,7 +88,7 @@ def contract(tree: DataFrame, with_path: bool = False) -> DataFrame:
         temp.append(scratch.write(joined))
         joined = scratch.read(joined.schema, temp[-1])
         spliced.append(joined.where("v is not null").select(F.col("v").alias("id"), F.col("vp").alias("parent"), F.col("vlen").alias("len"), F.col("id").alias("child"), (F.col("vsize") + F.col("carry")).alias("own"), F.col("vvia").alias("via")))
-        new_via = F.concat("vvia", "v", F.lit(SEP), "via") if with_path else via0
+        new_via = F.concat("vvia", F.array("v"), "via") if with_path else via0
         active = joined.select(
             "id",
             F.coalesce("vp", "parent").alias("parent"),
@@ -100,8 +99,8 @@ def contract(tree: DataFrame, with_path: bool = False) -> DataFrame:
             F.when(F.col("v").isNotNull(), new_via).otherwise(F.col("via")).alias("via"),
         )
 
-    none = F.lit(None).cast("string")
-    first = reduce(DataFrame.unionByName, done).select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), "size", (F.col("id") if with_path else none).alias("path"))
+    none = F.lit(None).cast("array<string>")
+    first = reduce(DataFrame.unionByName, done).select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), "size", (F.array("id") if with_path else none).alias("path"))
     first = first.unionByName(core.select("id", F.lit(CYCLE).alias("root_id"), F.lit(-1).alias("depth"), F.lit(-1).cast("long").alias("size"), none.alias("path")))
     found = [scratch.write(first)]
     schema = first.schema
@@ -113,7 +112,7 @@ def contract(tree: DataFrame, with_path: bool = False) -> DataFrame:
             down = known.select(F.col("id").alias("d"), F.col("size").alias("dsize"))
             out = out.join(down, F.col("child") == F.col("d"))
         cyc = F.col("root_id") == CYCLE
-        path = F.when(~cyc, F.concat("upath", F.lit(SEP), "via", "id")) if with_path else none
+        path = F.when(~cyc, F.concat("upath", "via", F.array("id"))) if with_path else none
         return out.select("id", "root_id", F.when(cyc, -1).otherwise(F.col("udepth") + F.col("len")).alias("depth"), F.when(cyc, -1).otherwise(size).cast("long").alias("size"), path.alias("path"))
 
     for r in reversed(range(len(spliced))):
@@ -121,16 +120,20 @@ def contract(tree: DataFrame, with_path: bool = False) -> DataFrame:
         more = below(known, spliced[r], F.col("own") + F.col("dsize"), True)
         found.append(scratch.write(more.unionByName(below(known.unionByName(more), raked[r], F.col("size"), False))))
     scratch.drop(*temp)
-    out = scratch.read(schema, *found).select("id", "root_id", "depth", F.when(F.col("root_id") == CYCLE, -1).otherwise(F.col("size") - 1).cast("int").alias("n_descendants"), *(["path"] if with_path else []))
-    return out.withColumn("path", F.replace("path", F.lit(SEP), F.lit("/"))) if with_path else out
+    return scratch.read(schema, *found).select("id", "root_id", "depth", F.when(F.col("root_id") == CYCLE, -1).otherwise(F.col("size") - 1).cast("int").alias("n_descendants"), *(["path"] if with_path else []))
+
+
+def _tree(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    return Scratch(rows.sparkSession).keep(links(rows, id_col, parent_col))
 
 
 def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", with_path: bool = False) -> DataFrame:
-    """Roots, depths, subtree sizes and optionally paths of all ids in ``rows``; other columns are ignored."""
-    return contract(Scratch(rows.sparkSession).keep(links(rows, id_col, parent_col)), with_path)
+    """Roots, depths, subtree sizes and optionally paths, ids joined by ``/``, of all ids in ``rows``; other columns are ignored."""
+    out = contract(_tree(rows, id_col, parent_col), with_path)
+    return out.withColumn("path", F.array_join("path", "/")) if with_path else out
 
 
 def descendants(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
-    """(ancestor_id, descendant_id, distance): one row per proper ancestor of each node outside cycles."""
-    h = hierarchy(rows, id_col, parent_col, with_path=True).where(F.col("depth") > 0)
-    return h.select("id", "depth", F.posexplode(F.slice(F.split("path", "/"), F.lit(1), F.col("depth"))).alias("pos", "ancestor_id")).select("ancestor_id", F.col("id").alias("descendant_id"), (F.col("depth") - F.col("pos")).alias("distance"))
+    """(ancestor_id, descendant_id, distance): one row per proper ancestor of each node outside cycles; ids may hold any character."""
+    h = contract(_tree(rows, id_col, parent_col), True).where(F.col("depth") > 0)
+    return h.select("id", "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("pos", "ancestor_id")).select("ancestor_id", F.col("id").alias("descendant_id"), (F.col("depth") - F.col("pos")).alias("distance"))

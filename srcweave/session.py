@@ -29,13 +29,17 @@ class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     Unlike a checkpoint, a written table has true size statistics, so later joins broadcast only
-    what is known to be small, and it survives the loss of executors.
+    what is known to be small, and it survives the loss of executors. The folder goes with the session's JVM.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/srcweave-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def write(self, df: DataFrame) -> str:
         self.n += 1

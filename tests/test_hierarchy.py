@@ -3,7 +3,7 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from srcweave.operators.hierarchy import descendants, hierarchy
+from srcweave.operators.hierarchy import descendants, hierarchy, links
 
 
 def brute(pairs):
@@ -59,3 +59,11 @@ def test_random_forests(spark, seed):
     r = random.Random(seed)
     ids = [f"n{i}" for i in range(40)]
     check(spark, [(ids[i], r.choice([None, *ids[max(0, i - 2) : i]]) if r.random() < 0.9 else r.choice(ids)) for i in range(40)])
+
+
+def test_ids_with_slashes(spark):
+    df = spark.createDataFrame([("a/b", None), ("c", "a/b"), ("d", "c"), ("e/\u001f", "d")], "id string, parent_id string")
+    got = {tuple(r) for r in descendants(df).collect()}
+    e = links(df).where("parent = 'd'").first()["id"]
+    assert got == {("a/b", "c", 1), ("a/b", "d", 2), ("c", "d", 1), ("a/b", e, 3), ("c", e, 2), ("d", e, 1)}
+    assert {r["id"]: r["path"] for r in hierarchy(df, with_path=True).collect()}["d"] == "a/b/c/d"
