@@ -1,6 +1,6 @@
 """Encoding of whole texts with a public byte-level BPE tokenizer.
 
-Texts of up to ``chunk`` characters are encoded as they are. A longer text becomes overlapping
+Texts of up to ``chunk`` characters are encoded as they are. A longer text is cut once into overlapping
 chunk rows that are pre-tokenised in parallel. Scanning for pre-tokens has no memory: two scans
 that share a boundary agree from there on. So each row scans its chunk and the overlap behind it
 and, afresh from the next chunk's start, the overlap; the first boundary both have is where the next
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKENIZERS = next(iter((importlib.util.find_spec("public_tokenizers") or type("S", (), {"submodule_search_locations": ["/opt/tokenizers"]})).submodule_search_locations))
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 1_024, 128
 #: The public pattern of the tokenizer, a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -71,13 +71,15 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     short = rows.where(size <= chunk).mapInPandas(encode_short, f"doc_id {id_type}, ids array<int>")
 
-    key = F.xxhash64("text")
-    starts = F.sequence(F.lit(0), ((size - 1) / chunk).cast("int"))
-    chunks = (
-        rows.where(size > chunk)
-        .select("doc_id", key.alias("h"), F.char_length("text").alias("total"), "text", F.explode(starts).alias("no"))
-        .select("doc_id", "h", "no", F.substring("text", F.col("no") * chunk + 1, F.lit(chunk + overlap)).alias("part"), (F.col("total") > (F.col("no") + 1) * chunk).alias("more"), (F.col("total") <= (F.col("no") + 1) * chunk + overlap).alias("whole"))
-    )
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, h, t in zip(b["doc_id"], b["h"], b["text"]):
+                starts = range(0, len(t), chunk)
+                for k in range(0, len(starts), 1_000):  # frames of bounded size, whatever the text's length
+                    some = starts[k : k + 1_000]
+                    yield pd.DataFrame({"doc_id": [i] * len(some), "h": h, "no": [x // chunk for x in some], "part": [t[x : x + chunk + overlap] for x in some], "more": [len(t) > x + chunk for x in some], "whole": [len(t) <= x + chunk + overlap for x in some]})
+
+    chunks = rows.where(size > chunk).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(cut, f"doc_id {id_type}, h long, no int, part string, more boolean, whole boolean")
 
     def sync(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
