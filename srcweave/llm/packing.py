@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 2_048
-SALTS = 64
+#: Items of one size that are ranked in one task.
+RANKED = 100_000
 
 
 def fullest(left: dict[int, int], room: int) -> dict[int, int]:
@@ -80,10 +81,8 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "size", capac
     id_type = rows.schema["id"].dataType.simpleString()
     n_parts = F.greatest(F.ceil(F.coalesce("all", F.lit(0)) / F.lit(capacity)), F.lit(1)).cast("int")
     parts = rows.select("id", "all", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part")).select("id", "part", F.least(F.lit(capacity), F.greatest(F.coalesce("all", F.lit(0)) - F.col("part") * F.lit(capacity).cast("long"), F.lit(0))).cast("int").alias("size"))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.lit(SALTS)).cast("int"))
     # at most capacity rows, whatever the number of items
-    cells = salted.where("size > 0").groupBy("size", "salt").agg(F.count("*").alias("n"))
-    counts = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["size"]: r["n"] for r in parts.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}
     plan = fills(counts, capacity)
 
     by_size: dict[int, list[tuple[int, int, int, int, int]]] = {}
@@ -101,8 +100,18 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "size", capac
     tables = {s: np.array(v, dtype=np.int64) for s, v in by_size.items()}
     shared = items.sparkSession.sparkContext.broadcast(tables)  # grows with the kinds of fills, at most a few per size
 
-    offsets = cells.withColumn("from", F.sum("n").over(Window.partitionBy("size").orderBy("salt")) - F.col("n")).select("size", "salt", "from")
-    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("size", "salt").orderBy("id", "part")) - 1).join(offsets, ["size", "salt"], "left").select("id", "part", "size", (F.col("from") + F.col("r")).alias("rank"))
+    # sizes with many items are ranked in salted shares, as many as their counts ask for
+    hot = {s: -(-n // RANKED) for s, n in counts.items() if n > RANKED}
+    n_salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for sn in hot.items() for x in sn]), F.col("size")), F.lit(1)) if hot else F.lit(1)
+    n_salts = F.when(F.col("size") == 0, F.lit(1_000)).otherwise(n_salts)  # their ranks are not used
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("id", "part"), n_salts.cast("long")).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy("id", "part")) - 1
+    if hot:
+        cells = salted.where(F.col("size").isin(*hot)).groupBy("size", "salt").agg(F.count("*").alias("n"))
+        offsets = cells.select("size", "salt", (F.sum("n").over(Window.partitionBy("size").orderBy("salt")) - F.col("n")).alias("from"))
+        ranked = salted.withColumn("r", rank).join(offsets, ["size", "salt"], "left").select("id", "part", "size", (F.coalesce("from", F.lit(0)) + F.col("r")).alias("rank"))
+    else:
+        ranked = salted.select("id", "part", "size", rank.alias("rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -46,7 +46,9 @@ def test_fullest_is_optimal():
     assert P.fullest({9: 5}, 8) == {}
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("ranked", [2, 100_000])
+def test_pack(spark, monkeypatch, ranked):
+    monkeypatch.setattr(P, "RANKED", ranked)
     rows = [(1, 10), (2, 6), (3, 4), (4, 27), (5, 0), (6, None), (7, 6), (8, 4), (8, 4)]
     out = [r.asDict() for r in P.pack(spark.createDataFrame(rows, "doc_id long, size int"), capacity=10).collect()]
     assert sorted((r["id"], r["part"], r["size"]) for r in out if r["id"] == 4) == [(4, 0, 10), (4, 1, 10), (4, 2, 7)]
