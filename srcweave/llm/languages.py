@@ -6,6 +6,8 @@ with the language assigned by the text, and the priors of the place, counted fro
 towards repository and corpus and counted by grouped aggregation. The models start from the declared labels and are
 counted once more from the lines' own assignments, which corrects wrong labels and mixed documents. Lines of a
 document are then assigned together by dynamic programming with a price for a change of language.
+
+Texts are read once: their prose lines are cleaned to words, which the later passes work on; words are scored once a batch.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -71,12 +74,25 @@ def text_lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
+_MARKS = regex.compile(r"\P{ccc=0}+")
+_UPPER, _LOWER = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{Ll}+")
+#: Without one of these a line holds nothing that _NOISE takes out.
+_SUSPECT = re.compile(r"[`<@_0-9\[]|://|[a-z][A-Z]|[A-Za-z0-9_/-]\.[a-z]|\(\)|[A-Z]{2}|^\s*[a-z]+(?:\([\w -]*\))?!?:")
+
+
 def fold(text: str) -> str:
-    """Entities resolved, accents off, lower case."""
+    """Entities resolved, accents off."""
     t = html.unescape(text) if "&" in text else text
-    if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    return t
+    return t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", t))
+
+
+def words_of(line: str) -> list[str]:
+    """The words of a line of prose in lower case, without code, names and marks of other kinds."""
+    t = fold(line)
+    up = sum(map(len, _UPPER.findall(t)))
+    if up and up > 2 * sum(map(len, _LOWER.findall(t))):  # shouted text has no acronyms
+        t = t.lower()
+    return _WORD.findall((_NOISE.sub(" ", t) if _SUSPECT.search(t) else t).lower())
 
 
 _HASHES: dict[str, np.ndarray] = {}
@@ -95,13 +111,53 @@ def _word_features(w: str) -> np.ndarray:
 
 
 def line_features(line: str) -> np.ndarray:
-    t = fold(line)
-    if sum(map(str.isupper, t)) > 2 * sum(map(str.islower, t)):  # shouted text has no acronyms
-        t = t.lower()
-    words = _WORD.findall(_NOISE.sub(" ", t).lower())
+    words = words_of(line)
     return np.concatenate([_word_features(w) for w in words]) if words else np.empty(0, dtype=np.int32)
 
 
+class Batch:
+    """The prose lines of several documents as word numbers over one vocabulary."""
+
+    def __init__(self, docs: list[list[str]]):
+        """``docs``: per document its lines, each the words joined by blanks."""
+        lines = [x for d in docs for x in d]
+        split = [x.split(" ") for x in lines]
+        self.doc_lines = np.array([len(d) for d in docs])
+        self.line_words = np.array([len(x) for x in split])
+        flat = np.empty(int(self.line_words.sum()), dtype=object)
+        flat[:] = list(chain.from_iterable(split))
+        self.ids, vocabulary = pd.factorize(flat)
+        parts = [_word_features(w) for w in vocabulary]
+        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        self.features = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+        self.line_start = np.cumsum(self.line_words) - self.line_words
+        self.doc_start = np.cumsum(self.doc_lines) - self.doc_lines
+
+    def line_features(self) -> np.ndarray:
+        """Number of features of each line."""
+        return np.add.reduceat(self.sizes[self.ids], self.line_start) if len(self.line_start) else np.empty(0, dtype=np.int64)
+
+    def scores(self, model: Model) -> np.ndarray:
+        """(lines, languages): tempered log-likelihoods."""
+        if not len(self.line_start):
+            return np.empty((0, len(model.langs)))
+        at = np.cumsum(self.sizes) - self.sizes
+        word = np.add.reduceat(model.logp[:, self.features].astype(np.float64), at, axis=1).T
+        return TEMPER * np.add.reduceat(word[self.ids], self.line_start, axis=0)
+
+    def tally(self, langs: list, groups: np.ndarray) -> pd.DataFrame:
+        """Feature counts by language; at bucket -1 the number of ``groups`` (one per line) with words. ``langs``: of each line, None to leave out."""
+        out = []
+        kind, names = pd.factorize(np.array([*langs, None], dtype=object)[:-1])
+        of_word = np.repeat(kind, self.line_words)
+        for k, lang in enumerate(names):
+            n = np.bincount(self.ids[of_word == k], minlength=len(self.sizes))
+            c = np.bincount(self.features, weights=np.repeat(n, self.sizes), minlength=BUCKETS)
+            at = np.flatnonzero(c)
+            out.append(pd.DataFrame({"lang": [lang] * (len(at) + 1), "bucket": np.r_[-1, at].astype(np.int32), "n": np.r_[len(np.unique(groups[kind == k])), c[at]].astype(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=object), "bucket": pd.Series(dtype=np.int32), "n": pd.Series(dtype=np.int64)})
+
+
 class Model:
     """Log-probabilities of feature buckets per language, a table of fixed size."""
 
@@ -112,23 +168,6 @@ class Model:
         share = total[:, 0] / max(1.0, total.sum())
         self.prior = np.log(share + 1e-3)
 
-    def scores(self, feats: np.ndarray) -> np.ndarray:
-        return TEMPER * self.logp[:, feats].sum(1).astype(np.float64)
-
-
-def _tally(rows: Iterator[tuple[str, np.ndarray]]) -> pd.DataFrame:
-    """Feature counts by language; at bucket -1 the number of arrays with features."""
-    by: dict[str, list[np.ndarray]] = {}
-    for lang, f in rows:
-        if len(f):
-            by.setdefault(lang, []).append(f)
-    out = []
-    for lang, fs in by.items():
-        c = np.bincount(np.concatenate(fs), minlength=BUCKETS)
-        at = np.flatnonzero(c)
-        out.append(pd.DataFrame({"lang": lang, "bucket": np.r_[-1, at].astype(np.int32), "n": np.r_[len(fs), c[at]].astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=object), "bucket": pd.Series(dtype=np.int32), "n": pd.Series(dtype=np.int64)})
-
 
 def _model(counted: DataFrame, least: int = 1) -> Model | None:
     t = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -160,21 +199,16 @@ def decode(scores: np.ndarray, prior: np.ndarray, switch: float = SWITCH) -> np.
     return out
 
 
-def stretches(text: str, model: Model, prior: np.ndarray) -> list[tuple[int, str, float]]:
-    """(first line, language, confidence) of the one-language stretches of ``text``."""
-    lines = [(n, f) for n, line in text_lines(text) if len(f := line_features(line))]
-    if not lines:
+def stretches(numbers: np.ndarray, scores: np.ndarray, langs: list[str], prior: np.ndarray) -> list[tuple[int, str, float]]:
+    """(first line, language, confidence) of the one-language stretches of lines with ``numbers`` and ``scores``."""
+    if not len(numbers):
         return []
-    scores = np.array([model.scores(f) for _, f in lines])
     path = decode(scores, prior)
     out, i = [], 0
-    while i < len(path):
-        j = i
-        while j < len(path) and path[j] == path[i]:
-            j += 1
+    for j in [*(np.flatnonzero(np.diff(path)) + 1), len(path)]:
         s = prior + scores[i:j].sum(0)
         p = np.exp(s - s.max())
-        out.append((lines[i][0], model.langs[path[i]], float(p[path[i]] / p.sum())))
+        out.append((int(numbers[i]), langs[path[i]], float(p[path[i]] / p.sum())))
         i = j
     return out
 
@@ -188,44 +222,55 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learned, whatever its share; without any such language nothing can be learned and the result is empty.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     repo, source = host_cols
     labels = F.create_map(*[F.lit(x) for kv in label_map().items() for x in kv])
     declared = F.try_element_at(labels, F.split(F.lower(F.trim(F.col(label_col))), r"[-_. (]")[0])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), declared.alias("declared"), F.coalesce(F.col(repo), F.lit("")).alias("repo"), F.coalesce(F.col(source), F.lit("")).alias("source")).where("t is not null").distinct()
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def count_declared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each document's prose as (line number, words) and, with every batch, the tally of its labelled texts."""
         for b in batches:
-            yield _tally((d, np.concatenate([np.empty(0, dtype=np.int32), *(line_features(line) for _, line in text_lines(t))])) for t, d in zip(b["t"], b["declared"]))
-
-    first = _model(rows.where("declared is not null").mapInPandas(count_declared, "lang string, bucket int, n long"), LEAST_TEXTS)
+            numbers, texts = [], []
+            for t in b["t"]:
+                found = [(n, w) for n, line in text_lines(t) if (w := words_of(line))]
+                numbers.append([n for n, _ in found])
+                texts.append([" ".join(w) for _, w in found])
+            yield b.drop(columns="t").assign(numbers=numbers, words=texts, lang=None, bucket=None, n=None).astype({"bucket": "Int32", "n": "Int64"})
+            part = Batch(texts)
+            of_line = np.repeat(np.arange(len(b)), part.doc_lines)
+            tally = part.tally(list(b["declared"].to_numpy(dtype=object)[of_line]), of_line)
+            yield tally.assign(**{c: None for c in ("id", "declared", "repo", "source", "numbers", "words")})
+
+    kept = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema if x.name != "t")
+    # kept, so that the texts are read once
+    cleaned = scratch.keep(rows.mapInPandas(clean, f"{kept}, numbers array<int>, words array<string>, lang string, bucket int, n long"))
+    first = _model(cleaned.where("bucket is not null and lang is not null").select("lang", "bucket", "n"), LEAST_TEXTS)
     if first is None:
         return spark.createDataFrame([], f"id {id_type}, line_no int, lang string, confidence double, declared string")
     shared_first = spark.sparkContext.broadcast(first)
 
     def count_assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each row with the language that most of its text's features are assigned to, and the tally of the lines."""
+        """Each document with the language that most of its features are assigned to, and the tally of the lines."""
         m = shared_first.value
         for b in batches:
-            found, main = [], []
-            for t in b["t"]:
-                lines = [f for _, line in text_lines(t) if len(f := line_features(line))]
-                n = np.zeros(len(m.langs))
-                if lines:
-                    path = decode(np.array([m.scores(f) for f in lines]), m.prior)
-                    found += [(m.langs[k], f) for k, f in zip(path, lines)]
-                    np.add.at(n, path, [len(f) for f in lines])
-                main.append(m.langs[int(n.argmax())] if lines else None)
-            yield b.assign(main=main, lang=None, bucket=None, n=None).astype({"bucket": "Int32", "n": "Int64"})
-            tally = _tally(iter(found))
-            yield tally.assign(**{c: None for c in b.columns}, main=None)[[*b.columns, "main", "lang", "bucket", "n"]]
-
-    # kept, so that the texts are assigned once
-    passed = Scratch(spark).keep(rows.mapInPandas(count_assigned, f"{', '.join(f'{x.name} {x.dataType.simpleString()}' for x in rows.schema)}, main string, lang string, bucket int, n long"))
+            part = Batch([list(x) for x in b["words"]])
+            scores, sizes, main, found = part.scores(m), part.line_features(), [], []
+            for at, k in zip(part.doc_start, part.doc_lines):
+                path = decode(scores[at : at + k], m.prior) if k else np.empty(0, dtype=np.int32)
+                found += [m.langs[x] for x in path]
+                main.append(m.langs[int(np.bincount(path, weights=sizes[at : at + k], minlength=len(m.langs)).argmax())] if k else None)
+            yield b[["id", "declared", "repo", "source", "numbers", "words"]].assign(main=main, lang=None, bucket=None, n=None).astype({"bucket": "Int32", "n": "Int64"})
+            tally = part.tally(found, np.arange(len(found)))
+            yield tally.assign(**{c: None for c in ("id", "declared", "repo", "source", "numbers", "words", "main")})
+
+    docs_only = cleaned.where("bucket is null").select("id", "declared", "repo", "source", "numbers", "words")
+    passed = scratch.keep(docs_only.mapInPandas(count_assigned, f"{kept}, numbers array<int>, words array<string>, main string, lang string, bucket int, n long"))
     second = _model(passed.where("bucket is not null").select("lang", "bucket", "n"))
     model = spark.sparkContext.broadcast(second or first)
     langs = (second or first).langs
-    rows = passed.where("bucket is null").select(*rows.columns, "main")
+    rows = passed.where("bucket is null").select("id", "declared", "repo", "source", "numbers", "words", "main")
 
     # languages and right labels of the place, smoothed towards the repository and the corpus
     known = rows.where(F.col("main").isin(langs))
@@ -253,8 +298,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
         for b in batches:
             out = []
+            part = Batch([list(x) for x in b["words"]])
+            scores = part.scores(m)
             places = b[["by_repo_labels", "by_repo_right", "by_place_labels", "by_place_right"]].fillna(0).to_numpy(dtype=float)
-            for i, t, d, g, r, p, (rn, rr, pn, pr) in zip(b["id"], b["t"], b["declared"], b["main"], b["by_repo"], b["by_place"], places):
+            for i, numbers, at_line, d, g, r, p, (rn, rr, pn, pr) in zip(b["id"], b["numbers"], part.doc_start, b["declared"], b["main"], b["by_repo"], b["by_place"], places):
                 repo_n, place_n = counts(r), counts(p)
                 own = np.zeros(len(langs))
                 if g in at:  # the document is no evidence of its own place
@@ -267,7 +314,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     right_in_place = (pr + 10 * (rr + 20 * trusted) / (rn + 20)) / (pn + 10)
                     other = max(1 - right_in_place, 1e-3) / max(1, len(langs) - 1)
                     prior += np.log(np.where(np.arange(len(langs)) == at[d], max(right_in_place, 1e-3), other))
-                out += [(i, n, lang, c, d) for n, lang, c in stretches(t, m, prior)]
+                out += [(i, n, lang, c, d) for n, lang, c in stretches(numbers, scores[at_line : at_line + len(numbers)], langs, prior)]
             yield pd.DataFrame(out, columns=["id", "line_no", "lang", "confidence", "declared"])
 
     return placed.mapInPandas(assign, f"id {id_type}, line_no int, lang string, confidence double, declared string")
