@@ -52,8 +52,9 @@ def label_of(raw: str | None) -> str | None:
     return label_map().get(w)
 
 
-_NOISE = regex.compile(
-    r"https?://\S+|`[^`]*`|<[^<>\s]{1,40}>|(?<![A-Za-z0-9_])@[A-Za-z0-9_-]+|[A-Za-z0-9_]*_[A-Za-z0-9_]*(?:\(\))?|[A-Za-z0-9]*[a-z][A-Z][A-Za-z0-9]*(?:\(\))?|[A-Za-z0-9_/-]+\.[a-z]{1,4}\b(?!\.\w)|[A-Za-z]*\d[A-Za-z0-9]*|[A-Za-z]+\(\)|^\s*(?:feat|fix|docs|chore|refactor|test|tests|perf|style|build|ci|revert|wip)(?:\([\w -]*\))?!?:|\[[a-z_ -]+\](?!\()|\b[A-Z]{2,}\b"
+_NOISE = re.compile(
+    r"https?://\S+|`[^`]*`|<[^<>\s]{1,40}>|(?<![A-Za-z0-9_])(?:@[A-Za-z0-9_-]+|[A-Za-z0-9]*_[A-Za-z0-9_]*(?:\(\))?|[A-Za-z0-9]*[a-z][A-Z][A-Za-z0-9]*(?:\(\))?|[A-Za-z0-9_/-]+\.[a-z]{1,4}\b(?!\.\w)|[A-Za-z]*\d[A-Za-z0-9]*|[A-Za-z]+\(\)|[A-Z]{2,}\b)|"
+    r"^\s*(?:feat|fix|docs|chore|refactor|test|tests|perf|style|build|ci|revert|wip)(?:\([\w -]*\))?!?:|\[[a-z_ -]+\](?!\()"
 )
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]|\p{L}+(?:['’]\p{L}+)?")
 _TRACE = re.compile(r"^\s*(?:at [\w.$<>/]+\(|File \"|Traceback \(|Caused by:|\.\.\. \d+ more|goroutine \d|panic:|(?:[\w.]+\.)?\w*(?:Error|Exception)(?::|$)|\$ \S|>>> |[{}\[\]();]+\s*$|<\/?[a-z]+[^>]*>\s*$)")
