@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcweave.session import Scratch
+
 #: Weights of changed lines, commits and authors, fixed values.
 WEIGHTS = (0.5, 0.3, 0.2)
+#: Lines of a block by which functions and hunks of a file are joined.
+LINES = 64
 
 
 def _scored(df: DataFrame, loc: str) -> DataFrame:
@@ -37,10 +41,16 @@ def function_churn(functions: DataFrame, hunks: DataFrame) -> DataFrame:
     """Per (id): changes of the hunks that overlap it, shared in proportion and cut to whole lines per hunk.
 
     ``functions`` (id, path, sl, el), ``hunks`` (sha, author, path, new_start, new_count, added, deleted). Overlap is closed
-    with new_start + new_count as the end. Joined by path with the overlap as residual condition.
+    with new_start + new_count as the end. Both sides are laid out over blocks of LINES lines and joined by path and block,
+    so a hot file is cut up; a pair counts in the first block that both share.
     """
     end = F.col("new_start") + F.col("new_count")
-    hit = functions.join(hunks, "path").where((F.col("sl") <= end) & (F.col("new_start") <= F.col("el")))
+    at = lambda c: F.floor(c / LINES).cast("int")
+    over = lambda a, b: F.explode(F.sequence(at(a), F.greatest(at(a), at(b))))
+    f = functions.select("id", "path", "sl", "el", over(F.col("sl"), F.col("el")).alias("block"))
+    h = hunks.select("sha", "author", "path", "new_start", "new_count", "added", "deleted", over(F.col("new_start"), end).alias("block"))
+    first = F.col("block") == at(F.greatest("sl", "new_start"))
+    hit = f.join(h, ["path", "block"]).where((F.col("sl") <= end) & (F.col("new_start") <= F.col("el")) & first)
     ratio = F.when(F.col("new_count") > 0, (F.least("el", end) - F.greatest("sl", "new_start")) / F.col("new_count")).otherwise(F.lit(0.0))
     share = lambda c: (F.col(c) * ratio).cast("int")
     m = hit.groupBy("id").agg(F.sum(share("added")).alias("lines_added"), F.sum(share("deleted")).alias("lines_deleted"), F.countDistinct("sha").alias("commit_count"), F.countDistinct("author").alias("author_count"))
@@ -49,9 +59,22 @@ def function_churn(functions: DataFrame, hunks: DataFrame) -> DataFrame:
 
 
 def top_share(scored: DataFrame, percent: float, key: str = "path") -> DataFrame:
-    """The best ``percent`` of the rows by score, at least one; ties by key. Ranks come from a range-partitioned sort."""
-    n = scored.count()
-    return scored.orderBy(F.desc("score"), key).limit(max(1, int(n * percent / 100)) if n else 0)
+    """The best ``percent`` of the rows by score, at least one; ties by key.
+
+    The rows are sorted in range partitions; those before the one that holds the last place are taken whole, only that one is ranked.
+    """
+    scratch = Scratch(scored.sparkSession)
+    order = (F.desc("score"), F.col(key))
+    ranged = scratch.keep(scored.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    n = sum(x for _, x in sizes)
+    left = max(1, int(n * percent / 100)) if n else 0
+    for part, size in sizes:
+        if size >= left:
+            last = ranged.where(F.col("_part") == part).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).where(F.col("_n") <= left).drop("_n")
+            return ranged.where(F.col("_part") < part).unionByName(last).drop("_part")
+        left -= size
+    return ranged.drop("_part")
 
 
 def windowed_churn(commit_files: DataFrame, commits: DataFrame, width: str = "7 days") -> DataFrame:
@@ -62,6 +85,3 @@ def windowed_churn(commit_files: DataFrame, commits: DataFrame, width: str = "7
 def last_commit(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
     return commit_files.join(commits.select("sha", "ts").dropDuplicates(["sha"]), "sha").groupBy("path").agg(F.max_by("sha", F.struct("ts", "sha")).alias("sha"))
 
-
-def dense_rank_by_repo(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "path")))

@@ -6,12 +6,14 @@ its size on disk is known. Depths are shortest distances; an edge list holds eve
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from srcweave.schema import NODE_TYPES
+from srcweave.schema import NODE_TYPES, label_of_type, range_text
 from srcweave.session import Scratch
 
 FUNCTION, CLASS, FIELD, VARIABLE = (NODE_TYPES[x] for x in ("Function", "Class", "Field", "Variable"))
@@ -20,7 +22,8 @@ FUNCTION, CLASS, FIELD, VARIABLE = (NODE_TYPES[x] for x in ("Function", "Class",
 def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(anc, desc, depth, paths): proper ancestors and descendants over acyclic (src, dst) edges, one row per pair and depth.
 
-    ``starts`` (id) limits the ancestors. ``paths`` counts the ways, so per-path counts can be summed.
+    ``starts`` (id) limits the ancestors. ``paths`` counts the ways, so per-path counts can be summed. A cycle has no end of
+    paths and is an error.
     """
     scratch = Scratch(edges.sparkSession)
     e = scratch.keep(edges.where("src is not null and dst is not null and src != dst").distinct())
@@ -32,9 +35,12 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         last = scratch.read(schema, found[-1])
         nxt = last.join(e, last["desc"] == e["src"]).groupBy("anc", F.col("dst").alias("desc"), (F.col("depth") + 1).alias("depth")).agg(F.sum("paths").alias("paths"))
         path = scratch.write(nxt.select("anc", "desc", "depth", "paths"))
-        if scratch.read(schema, path).isEmpty():
+        new = scratch.read(schema, path)
+        if new.isEmpty():
             scratch.drop(path)
             return scratch.read(schema, *found)
+        if not new.where("anc = desc").isEmpty():
+            raise ValueError("the edges hold a cycle")
         found.append(path)
 
 
@@ -45,22 +51,30 @@ class Found:
     truncated: bool
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, expand: Column | None = None, blocked: DataFrame | None = None, node_info: DataFrame | None = None) -> Found:
+def bfs(edges: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame, max_depth: int | None = None, expand: Column | None = None, blocked: DataFrame | None = None, node_info: DataFrame | None = None) -> Found:
     """Breadth-first search over (src, dst, ...) from every seed (root, id) on its own.
 
+    ``edges`` is a table, or a function that gives the edges out of a frontier (src); only edges at the frontier are read.
     A node counts at its shortest distance. Nodes that fail ``expand`` (a condition over the columns of ``node_info``, keyed by
     id) are reached but not expanded nor returned; ``blocked`` (root, id) are treated as seen. ``truncated`` says that
     a node was found at ``max_depth``. Unknown seeds give themselves at depth 0; null seeds are left out.
     """
-    scratch = Scratch(edges.sparkSession)
-    e = scratch.keep(edges.where("src is not null and dst is not null").distinct())
+    scratch = Scratch(seeds.sparkSession)
+    if isinstance(edges, DataFrame):
+        e = scratch.keep(edges.where("src is not null and dst is not null").distinct())
+        edges = lambda ids: e.join(ids, "src", "left_semi")
     start = seeds.where("id is not null").select("root", "id", F.lit(0).alias("depth"), F.lit(True).alias("open")).distinct()
-    schema, found = start.schema, [scratch.write(start)]
+    schema, found, used = start.schema, [scratch.write(start)], []
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while True:
         frontier = scratch.read(schema, found[-1]).where("open").select("root", F.col("id").alias("src"))
+        if max_depth is not None and depth >= max_depth:
+            break
+        out = edges(frontier.select("src").distinct())
+        used.append(scratch.write(frontier.join(out, "src").select("root", *out.columns)))
+        hop = scratch.read(_with_root(out), used[-1])
         seen = scratch.read(schema, *found).select("root", "id")
-        nxt = frontier.join(e.select("src", F.col("dst").alias("id")), "src").select("root", "id").distinct().join(seen, ["root", "id"], "left_anti")
+        nxt = hop.select("root", F.col("dst").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
         if blocked is not None:
             nxt = nxt.join(blocked.select("root", "id"), ["root", "id"], "left_anti")
         if expand is not None:
@@ -73,12 +87,59 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, expand
             break
         found.append(path)
         depth += 1
-    all_ = scratch.read(schema, *found)
-    expanded = all_.where("open")
-    if max_depth is not None:
-        expanded = expanded.where(F.col("depth") < max_depth)
-    out = expanded.select("root", F.col("id").alias("src")).join(e, "src").select("root", *e.columns)
-    return Found(all_.where("open").select("root", "id", "depth"), out, max_depth is not None and depth >= max_depth)
+    nodes = scratch.read(schema, *found).where("open").select("root", "id", "depth")
+    if not used:
+        return Found(nodes, frontier.join(edges(frontier.select("src").distinct()), "src").where(F.lit(False)), max_depth is not None)
+    return Found(nodes, scratch.read(_with_root(out), *used), max_depth is not None and depth >= max_depth)
+
+
+def _with_root(edges: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("root", T.LongType()), *edges.schema.fields])
+
+
+def reach(contains: DataFrame, ids: DataFrame, up: bool = False) -> DataFrame:
+    """(start, id) of all nodes below (``up``: above) each of ``ids`` (src) over kept CONTAINS edges, the starts among them."""
+    scratch = Scratch(ids.sparkSession)
+    a, b = ("dst", "src") if up else ("src", "dst")
+    level = ids.select(F.col("src").alias("start"), F.col("src").alias("id")).distinct()
+    schema, found = level.schema, [scratch.write(level)]
+    while True:
+        last = scratch.read(schema, found[-1])
+        nxt = last.join(contains.select(F.col(a).alias("id"), F.col(b).alias("next")), "id").select("start", F.col("next").alias("id")).distinct()
+        path = scratch.write(nxt.join(scratch.read(schema, *found), ["start", "id"], "left_anti"))
+        if scratch.read(schema, path).isEmpty():
+            scratch.drop(path)
+            return scratch.read(schema, *found)
+        found.append(path)
+
+
+@dataclass
+class Calls:
+    """The calls of a graph, looked up for a frontier of functions instead of for all of them.
+
+    A call in a nested function counts for each function around it; calls outside any function have no caller.
+    """
+
+    contains: DataFrame  # src, dst
+    sites: DataFrame  # call_site, dst
+    functions: DataFrame  # id
+
+    @classmethod
+    def of(cls, nodes: DataFrame, edges: DataFrame) -> Calls:
+        keep = Scratch(nodes.sparkSession).keep
+        ends = lambda label: edges.where((F.col("label") == label) & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
+        return cls(keep(ends("CONTAINS")), keep(ends("CALLS_FUNCTION").withColumnRenamed("src", "call_site")), keep(nodes.where(F.col("node_type") == FUNCTION).select("id")))
+
+    def callees(self, ids: DataFrame) -> DataFrame:
+        """(src, dst, call_site) of the calls inside the functions ``ids`` (src)."""
+        inside = reach(self.contains, ids.join(self.functions.withColumnRenamed("id", "src"), "src", "left_semi"))
+        return inside.join(self.sites, inside["id"] == self.sites["call_site"]).select(F.col("start").alias("src"), "dst", "call_site")
+
+    def callers(self, ids: DataFrame) -> DataFrame:
+        """(src, dst, call_site) with src called and dst the caller, for the functions ``ids`` (src)."""
+        sites = self.sites.join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi")
+        above = reach(self.contains, sites.select(F.col("call_site").alias("src")), up=True).join(self.functions, "id", "left_semi")
+        return sites.join(above, sites["call_site"] == above["start"]).select(F.col("dst").alias("src"), F.col("id").alias("dst"), "call_site").distinct()
 
 
 def call_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,17 +161,17 @@ def seeds_of(spark, ids: list[int]) -> DataFrame:
     return spark.createDataFrame([(i, i) for i in ids], "root long, id long")
 
 
-def call_graph(calls: DataFrame, seeds: DataFrame, direction: str = "outgoing", max_depth: int = 3) -> Found:
+def call_graph(calls: DataFrame | Calls, seeds: DataFrame, direction: str = "outgoing", max_depth: int = 3) -> Found:
     """Call graph around each seed. Callers have negative depths; with ``both``, callees come first and are not added again."""
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError("direction is outgoing, incoming or both")
     max_depth = max_depth if max_depth > 0 else 3
     parts = []
     if direction != "incoming":
-        parts.append(bfs(calls, seeds, max_depth))
+        parts.append(bfs(calls.callees if isinstance(calls, Calls) else calls, seeds, max_depth))
     if direction != "outgoing":
         blocked = parts[0].nodes.where("depth > 0").select("root", "id") if parts else None
-        up = bfs(reverse(calls), seeds, max_depth, blocked=blocked)
+        up = bfs(calls.callers if isinstance(calls, Calls) else reverse(calls), seeds, max_depth, blocked=blocked)
         parts.append(Found(up.nodes.select("root", "id", (-F.col("depth")).alias("depth")), reverse(up.edges), up.truncated))
     nodes = parts[0].nodes if len(parts) == 1 else parts[0].nodes.unionByName(parts[1].nodes.where("depth < 0"))
     edges = parts[0].edges if len(parts) == 1 else parts[0].edges.unionByName(parts[1].edges).distinct()
@@ -148,7 +209,7 @@ def field_accessors(nodes: DataFrame, edges: DataFrame, fields: DataFrame | None
     return joined.groupBy(F.col("dst").alias("field"), F.col("anc").alias("method"), "access").agg(F.sum("paths").alias("n"))
 
 
-def impact(calls: DataFrame, edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = 3, by_calls: bool = True, by_data: bool = True) -> DataFrame:
+def impact(calls: DataFrame | Calls, edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = 3, by_calls: bool = True, by_data: bool = True) -> DataFrame:
     """(root, id, depth, via): callers and data dependents of each seed; what both reach counts as call_graph. Depth <= 0 means 3."""
     max_depth = max_depth if max_depth > 0 else 3
     out = seeds.sparkSession.createDataFrame([], "root long, id long, depth int, via string")
@@ -256,12 +317,19 @@ def module_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dump(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, section, ord, line): a text dump of the graph; order by these columns and write the lines.
 
-    Nodes come by id, edges by their ends and label, totals last.
+    A header names the file, nodes come by id with their range and sorted metadata where the tables have them, edges by
+    their ends and label, totals last.
     """
-    label = F.try_element_at(F.create_map(*[F.lit(x) for n, i in NODE_TYPES.items() for x in (i, n)]), F.col("node_type"))
     at = files.select("file_id", "path")
-    n = nodes.join(at, "file_id").select("path", F.lit(0).alias("section"), F.format_string("%020d", "id").alias("ord"), F.concat(F.lit("["), label, F.lit("] ID:"), F.col("id").cast("string"), F.lit(' Name:"'), F.coalesce("name", F.lit("")), F.lit('"')).alias("line"))
+    have = set(nodes.columns)
+    none = F.lit(None).cast("int")
+    part = [F.col(c) if c in have else none for c in ("sl", "sc", "el", "ec")]
+    where = F.when(part[0].isNotNull() & part[2].isNotNull(), F.concat(F.lit(" Range:"), range_text(part[0], F.coalesce(part[1], F.lit(0)), part[2], F.coalesce(part[3], F.lit(0))))).otherwise(F.lit(""))
+    facts = F.array_sort(F.transform(F.map_entries("md"), lambda e: F.concat(F.lit(" "), e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))) if "md" in have else F.array().cast("array<string>")
+    line = F.concat(F.lit("["), F.coalesce(label_of_type(F.col("node_type")), F.lit("")), F.lit("] ID:"), F.col("id").cast("string"), F.lit(' Name:"'), F.coalesce("name", F.lit("")), F.lit('"'), where, F.coalesce(F.array_join(facts, ""), F.lit("")))
+    n = nodes.join(at, "file_id").select("path", F.lit(1).alias("section"), F.format_string("%020d", "id").alias("ord"), line.alias("line"))
     owner = nodes.select(F.col("id").alias("src"), "file_id").join(at, "file_id").select("src", "path")
-    e = edges.join(owner, "src").select("path", F.lit(1).alias("section"), F.format_string("%020d %s %020d", "src", "label", "dst").alias("ord"), F.concat(F.lit("("), F.col("src").cast("string"), F.lit(") -["), "label", F.lit("]-> ("), F.col("dst").cast("string"), F.lit(")")).alias("line"))
-    totals = n.unionByName(e).groupBy("path").agg(F.sum((F.col("section") == 0).cast("int")).alias("a"), F.sum((F.col("section") == 1).cast("int")).alias("b")).select("path", F.lit(2).alias("section"), F.lit("").alias("ord"), F.format_string("total nodes %d, edges %d", "a", "b").alias("line"))
-    return n.unionByName(e).unionByName(totals)
+    e = edges.join(owner, "src").select("path", F.lit(2).alias("section"), F.format_string("%020d %s %020d", "src", "label", "dst").alias("ord"), F.concat(F.lit("("), F.col("src").cast("string"), F.lit(") -["), "label", F.lit("]-> ("), F.col("dst").cast("string"), F.lit(")")).alias("line"))
+    both = n.select("path", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(e.select("path", F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy("path").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    frame = both.select("path", F.explode(F.array(F.struct(F.lit(0).alias("section"), F.concat(F.lit("File: "), "path").alias("line")), F.struct(F.lit(3).alias("section"), F.format_string("total nodes %d, edges %d", "a", "b").alias("line")))).alias("x"))
+    return n.unionByName(e).unionByName(frame.select("path", "x.section", F.lit("").alias("ord"), "x.line"))

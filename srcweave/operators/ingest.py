@@ -6,6 +6,7 @@ import ast
 import hashlib
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,6 +59,7 @@ def _brace_blocks(text: str) -> list[tuple[str, str, int, int, str, str]]:
             match[stack.pop()] = i
     out = []
     pos = 0
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
     while m := _HEADER.search(code, pos):
         pos = m.start() + 1 if m["fn"] and m["fname"] in _CONTROL else m.end()
         end = match.get(m.end() - 1)
@@ -66,7 +68,7 @@ def _brace_blocks(text: str) -> list[tuple[str, str, int, int, str, str]]:
         kind = "class" if m["cls"] else "conditional" if m["cond"] else "loop" if m["loop"] else "function"
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         name = m["cname"] or m["tname"] or m["fname"] or ""
-        out.append((kind, name, text.count("\n", 0, start), text.count("\n", 0, end), " ".join(text[start : m.end() - 1].split()) if kind == "function" else "", ""))
+        out.append((kind, name, bisect_left(breaks, start), bisect_left(breaks, end), " ".join(text[start : m.end() - 1].split()) if kind == "function" else "", ""))
     return out
 
 

@@ -10,9 +10,13 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same keys; columns that one side lacks become null."""
-    fresh = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *newest: Column) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with the same keys; columns that one side lacks become null.
+
+    Of several new rows of a key the first by ``newest`` stays; without it, the largest by all its columns, maps apart.
+    """
+    plain = [F.desc_nulls_last(f.name) for f in new.schema.fields if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
+    fresh = latest(new, keys, *(newest or plain or [F.lit(0)]))
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
@@ -101,7 +105,7 @@ def without_ephemeral(versions: DataFrame) -> DataFrame:
 
 def save_summaries(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert on (entity_id, entity_type); of several new rows the latest wins."""
-    return upsert(old, latest(new, ["entity_id", "entity_type"], F.desc_nulls_last("updated_at"), F.desc("id")), ["entity_id", "entity_type"])
+    return upsert(old, new, ["entity_id", "entity_type"], F.desc_nulls_last("updated_at"), F.desc("id"))
 
 
 def needs_update(contexts: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -14,10 +14,7 @@ SKIP_DIRS = (".git", "node_modules", ".vscode", ".idea", "vendor", "target", "bu
 CHUNK_SKIP_DIRS = (".git", ".env", ".venv", "venv", "env", "node_modules", "vendor", "target", "build", "dist", "bin", "obj", "__pycache__", ".idea", ".vscode", ".pytest_cache", ".mypy_cache", ".tox", "coverage", ".next", ".nuxt", "out")
 SKIP_NAMES = ("dockerfile", "docker-compose.yml", "docker-compose.yaml", ".dockerignore", "makefile", ".gitignore", ".gitattributes", ".editorconfig", ".prettierrc", ".eslintrc", ".pylintrc", ".flake8", "license", "readme.md", "readme.txt", "changelog.md", "contributing.md", "code_of_conduct.md", "security.md")
 LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "gemfile.lock", "pipfile.lock", "poetry.lock", "cargo.lock", "go.sum")
-SKIP_EXTENSIONS = tuple(
-    "." + e
-    for e in "exe dll so dylib a o obj pyc pyo class jar war wasm bin png jpg jpeg gif bmp ico svg webp mp4 avi mov wmv flv webm mp3 wav ogg flac aac pdf doc docx xls xlsx ppt pptx zip tar gz bz2 7z rar tgz log tmp temp swp swo".split()
-)
+SKIP_EXTENSIONS = (".exe", ".dll", ".so", ".dylib", ".a", ".o", ".obj", ".pyc", ".pyo", ".class", ".jar", ".war", ".wasm", ".bin", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".mp4", ".avi", ".mov", ".wmv", ".flv", ".webm", ".mp3", ".wav", ".ogg", ".flac", ".aac", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar", ".tgz", ".log", ".tmp", ".temp", ".swp", ".swo")
 SKIP_PARTS = ("node_modules", "vendor", "target", "build", "dist", "__pycache__", ".pytest_cache", "coverage", "site-packages", ".next", ".nuxt", "bin", "obj", ".git")
 
 
