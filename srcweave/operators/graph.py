@@ -34,12 +34,10 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     while True:
         last = scratch.read(schema, found[-1])
         nxt = last.join(e, last["desc"] == e["src"]).groupBy("anc", F.col("dst").alias("desc"), (F.col("depth") + 1).alias("depth")).agg(F.sum("paths").alias("paths"))
-        path = scratch.write(nxt.select("anc", "desc", "depth", "paths"))
-        new = scratch.read(schema, path)
-        if new.isEmpty():
-            scratch.drop(path)
+        path = scratch.write_some(nxt.select("anc", "desc", "depth", "paths"))
+        if path is None:
             return scratch.read(schema, *found)
-        if not new.where("anc = desc").isEmpty():
+        if not scratch.read(schema, path).where("anc = desc").isEmpty():
             raise ValueError("the edges hold a cycle")
         found.append(path)
 
@@ -81,9 +79,8 @@ def bfs(edges: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame, m
             nxt = nxt.join(node_info, "id", "left").withColumn("open", F.coalesce(expand, F.lit(False)))
         else:
             nxt = nxt.withColumn("open", F.lit(True))
-        path = scratch.write(nxt.select("root", "id", F.lit(depth + 1).alias("depth"), "open"))
-        if scratch.read(schema, path).isEmpty():
-            scratch.drop(path)
+        path = scratch.write_some(nxt.select("root", "id", F.lit(depth + 1).alias("depth"), "open"))
+        if path is None:
             break
         found.append(path)
         depth += 1
@@ -102,15 +99,15 @@ def reach(contains: DataFrame, ids: DataFrame, up: bool = False) -> DataFrame:
     scratch = Scratch(ids.sparkSession)
     a, b = ("dst", "src") if up else ("src", "dst")
     level = ids.select(F.col("src").alias("start"), F.col("src").alias("id")).distinct()
-    schema, found = level.schema, [scratch.write(level)]
+    schema, found, last = level.schema, [], level
     while True:
-        last = scratch.read(schema, found[-1])
         nxt = last.join(contains.select(F.col(a).alias("id"), F.col(b).alias("next")), "id").select("start", F.col("next").alias("id")).distinct()
-        path = scratch.write(nxt.join(scratch.read(schema, *found), ["start", "id"], "left_anti"))
-        if scratch.read(schema, path).isEmpty():
-            scratch.drop(path)
-            return scratch.read(schema, *found)
+        seen = level.unionByName(scratch.read(schema, *found)) if found else level
+        path = scratch.write_some(nxt.join(seen, ["start", "id"], "left_anti"))
+        if path is None:
+            return seen
         found.append(path)
+        last = scratch.read(schema, path)
 
 
 @dataclass
@@ -127,13 +124,13 @@ class Calls:
     @classmethod
     def of(cls, nodes: DataFrame, edges: DataFrame) -> Calls:
         keep = Scratch(nodes.sparkSession).keep
-        ends = lambda label: edges.where((F.col("label") == label) & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
+        ends = lambda label: edges.where((F.col("label") == label) & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst")
         return cls(keep(ends("CONTAINS")), keep(ends("CALLS_FUNCTION").withColumnRenamed("src", "call_site")), keep(nodes.where(F.col("node_type") == FUNCTION).select("id")))
 
     def callees(self, ids: DataFrame) -> DataFrame:
         """(src, dst, call_site) of the calls inside the functions ``ids`` (src)."""
         inside = reach(self.contains, ids.join(self.functions.withColumnRenamed("id", "src"), "src", "left_semi"))
-        return inside.join(self.sites, inside["id"] == self.sites["call_site"]).select(F.col("start").alias("src"), "dst", "call_site")
+        return inside.join(self.sites, inside["id"] == self.sites["call_site"]).select(F.col("start").alias("src"), "dst", "call_site").distinct()
 
     def callers(self, ids: DataFrame) -> DataFrame:
         """(src, dst, call_site) with src called and dst the caller, for the functions ``ids`` (src)."""

@@ -38,6 +38,11 @@ def file_by_path(files: DataFrame, repo: str, path: str) -> DataFrame:
     return files.where((F.col("repo") == repo) & (F.col("path") == path)).orderBy("file_id").limit(1)
 
 
+def first_versions(files: DataFrame) -> DataFrame:
+    """(repo, path, file_id, versions): the id that each path resolves to, the smallest of its versions."""
+    return files.groupBy("repo", "path").agg(F.min("file_id").alias("file_id"), F.count("*").alias("versions"))
+
+
 def entities(nodes: DataFrame, files: DataFrame, kind: str, repo: str | None = None, name: str | None = None, name_like: str | None = None, path: str | None = None, file_id: int | None = None, glob: bool = False) -> DataFrame:
     """Nodes of a kind with their file; repo and path are resolved over the file."""
     hit = nodes.where((F.col("node_type") == NODE_TYPES[kind]) & equal(F.col("name"), name) & like(F.col("name"), name_like, glob) & equal(F.col("file_id"), file_id))

@@ -20,6 +20,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], *newest: Column) ->
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def with_embedding(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows that have an embedding; null and empty ones are dropped."""
+    return vectors.where(F.coalesce(F.size(column), F.lit(0)) > 0)
+
+
 def write_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends both exist, once per (src, dst, label)."""
     ids = nodes.select("id").distinct()
@@ -94,6 +99,11 @@ def versions_of(versions: DataFrame, **where) -> DataFrame:
     return versions.orderBy(F.desc("created_at"), "file_id")
 
 
+def newest_first(versions: DataFrame, key: str) -> DataFrame:
+    """Versions with their ``place`` within the key, 1 for the newest; ties by id and hash."""
+    return versions.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("created_at"), "file_id", "file_sha")))
+
+
 def set_status(versions: DataFrame, file_ids: DataFrame, status: str, now: Column | None = None) -> DataFrame:
     hit = versions.join(file_ids.select("file_id").distinct().withColumn("_hit", F.lit(True)), "file_id", "left")
     return hit.withColumn("status", F.when(F.col("_hit"), F.lit(status)).otherwise(F.col("status"))).withColumn("updated_at", F.when(F.col("_hit"), now if now is not None else F.current_timestamp()).otherwise(F.col("updated_at"))).drop("_hit")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcweave.functions import text as X
@@ -11,7 +11,7 @@ from srcweave.operators import graph as G
 from srcweave.operators import reader as R
 from srcweave.operators import store as T
 from srcweave.operators import vector as V
-from srcweave.plans.core import CLS1, EVENTS, FN7, GRAPH, VAR0, _events, _graph, _node, _reach, query
+from srcweave.plans.core import CLS1, EVENTS, FN7, GRAPH, VAR0, WHOLE, _calls, _events, _graph, _node, _reach, query
 from srcweave.session import table
 from srcweave.sources import files as FS
 from srcweave.sources import star as S
@@ -20,7 +20,7 @@ from srcweave.sources import star as S
 @query("s14_node_by_id", f"WITH {GRAPH} SELECT id, name, file_id FROM fn WHERE id = {FN7}")
 def s14(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
-    return _node(g, 7, 2_000_000, 7).select("id").join(g.nodes, "id").select("id", "name", "file_id")
+    return R.node_by_id(g.nodes, _node(g, 7, 2_000_000, 7).first()["id"], 7).select("id", "name", "file_id")
 
 
 @query("s16_nodes_of_file", f"WITH {GRAPH} SELECT id FROM (SELECT id, file_id FROM cls UNION ALL SELECT id, file_id FROM fn UNION ALL SELECT DISTINCT f.block, f.file_id FROM calls c JOIN fn f ON c.src = f.id UNION ALL SELECT call_site, f.file_id FROM calls c JOIN fn f ON c.src = f.id UNION ALL SELECT DISTINCT field, (field >> 32)::INT FROM touched UNION ALL SELECT id, (id >> 32)::INT FROM ord UNION ALL SELECT (file_id::BIGINT << 32) + 1, file_id FROM files_) WHERE file_id = 3")
@@ -41,13 +41,13 @@ def s02(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g03_callers", f"WITH {GRAPH} SELECT DISTINCT src AS id FROM ce WHERE dst = {FN7}")
 def g03(spark: SparkSession, sf: str) -> DataFrame:
-    g, calls = _graph(spark, sf)
+    g, calls = _calls(spark, sf)
     return G.call_graph(calls, _node(g, 7, 2_000_000, 7), "incoming", 1).nodes.where("depth = -1").select("id")
 
 
 @query("g05_callgraph_by_name", f"WITH RECURSIVE {GRAPH}, {_reach('ce', '(SELECT min(id) FROM fn WHERE name = (SELECT name FROM fn WHERE p_partkey = 7))', 2)} SELECT id, min(d)::INT AS depth FROM r GROUP BY id")
 def g05(spark: SparkSession, sf: str) -> DataFrame:
-    g, calls = _graph(spark, sf)
+    g, calls = _calls(spark, sf)
     name = table(spark, sf, "part").where("p_partkey = 7").first()["p_name"]
     return G.call_graph(calls, G.lookup(g.nodes, g.files, 7, name), "outgoing", 2).nodes.select("id", "depth")
 
@@ -80,7 +80,7 @@ def g12_children(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g14_impact_of_variable", f"WITH RECURSIVE {GRAPH}, {_reach('flow', VAR0, 3)} SELECT id, min(d)::INT AS depth, 'data_flow' AS via FROM r WHERE d > 0 GROUP BY id")
 def g14(spark: SparkSession, sf: str) -> DataFrame:
-    g, calls = _graph(spark, sf)
+    g, calls = _calls(spark, sf)
     return G.impact(calls, g.edges, g.nodes, G.lookup(g.nodes, g.files, 4, "order_0")).select("id", "depth", "via")
 
 
@@ -115,17 +115,23 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     return G.calls_by_function(g.nodes, g.edges)
 
 
-@query("a16_dump_totals", f"WITH {GRAPH} SELECT path, 'total nodes ' || (SELECT count(*) FROM fn WHERE fn.file_id = f.file_id) || ', edges ' || (SELECT count(*) FROM ce JOIN fn ON fn.id = ce.src WHERE fn.file_id = f.file_id) AS line FROM files_ f WHERE f.file_id IN (SELECT file_id FROM fn)")
+@query("a16_dump_totals", f"WITH {WHOLE}, e AS (SELECT n.file_id, count(*) AS n FROM all_edges JOIN all_nodes n ON n.id = src GROUP BY 1), c AS (SELECT file_id, count(*) AS n FROM all_nodes GROUP BY 1) SELECT path, 'total nodes ' || c.n || ', edges ' || coalesce(e.n, 0) AS line FROM files_ JOIN c USING (file_id) LEFT JOIN e USING (file_id)")
 def a16(spark: SparkSession, sf: str) -> DataFrame:
-    g, calls = _graph(spark, sf)
-    d = G.dump(g.files, g.of_type(7), calls.select("src", "dst").distinct().withColumn("label", F.lit("CALLS")))
-    return d.where("section = 2").select("path", "line")
+    g = S.star_graph(spark, sf)
+    return G.dump(g.files, g.nodes, g.edges).where("section = 3").select("path", "line")
 
 
-@query("k10_dump", f"WITH {GRAPH} SELECT '[Class] ID:' || id || ' Name:\"' || name || '\"' AS line FROM cls UNION ALL SELECT '(' || src || ') -[INHERITS]-> (' || dst || ')' FROM inh")
+@query(
+    "k10_dump",
+    f"""WITH {WHOLE}, lines AS (SELECT path, 0 AS section, '' AS ord, 'File: ' || path AS line FROM files_ UNION ALL SELECT path, 1, lpad(id::VARCHAR, 20, '0'), '[' || label || '] ID:' || id || ' Name:"' || name || '"' || CASE WHEN sl IS NULL THEN '' ELSE ' Range:(' || sl || ',0)-(' || el || ',0)' END FROM all_nodes JOIN files_ USING (file_id)
+  UNION ALL SELECT path, 2, lpad(src::VARCHAR, 20, '0') || ' ' || e.label || ' ' || lpad(dst::VARCHAR, 20, '0'), '(' || src || ') -[' || e.label || ']-> (' || dst || ')' FROM all_edges e JOIN all_nodes n ON n.id = src JOIN files_ USING (file_id))
+SELECT path, section, (row_number() OVER (PARTITION BY path, section ORDER BY ord, line))::INT AS place, line FROM lines""",
+)
 def k10(spark: SparkSession, sf: str) -> DataFrame:
+    """The dump of every node and edge with the place of each line in its file's section."""
     g = S.star_graph(spark, sf)
-    return G.dump(g.files, g.of_type(8), g.edges.where("label = 'INHERITS'")).where("section < 2").select("line")
+    place = F.row_number().over(Window.partitionBy("path", "section").orderBy("ord", "line")).alias("place")
+    return G.dump(g.files, g.nodes, g.edges).where("section < 3").select("path", "section", place, "line")
 
 
 @query("rd05_class_full", f"WITH {GRAPH}, f AS (SELECT DISTINCT ((field & 4294967295) - 200000000) // 4 AS k, field FROM touched) SELECT id AS class_id, name, (SELECT count(*) FROM fn WHERE class_id = cls.id)::INT AS methods, (SELECT count(*) FROM f WHERE f.k = cls.k)::INT AS fields FROM cls")
@@ -154,10 +160,10 @@ def p21(spark: SparkSession, sf: str) -> DataFrame:
     return R.incoming(g.edges, one, "INHERITS").select("src", "dst", "label")
 
 
-@query("rd22_edges_of_file", f"WITH {GRAPH} SELECT count(*) AS n FROM inh WHERE (src >> 32) = 3 OR (dst >> 32) = 3")
+@query("rd22_edges_of_file", f"WITH {WHOLE} SELECT DISTINCT src, dst, label FROM all_edges WHERE src IN (SELECT id FROM all_nodes WHERE file_id = 3) OR dst IN (SELECT id FROM all_nodes WHERE file_id = 3)")
 def p22(spark: SparkSession, sf: str) -> DataFrame:
     g = S.star_graph(spark, sf)
-    return R.edges_of_file(g.nodes, g.edges.where("label = 'INHERITS'"), 3).agg(F.count("*").alias("n"))
+    return R.edges_of_file(g.nodes, g.edges, 3).select("src", "dst", "label")
 
 
 @query("rd23_free_sql", f"WITH {GRAPH} SELECT c.name, count(*) AS methods FROM cls c JOIN fn ON fn.class_id = c.id GROUP BY c.id, c.name")
@@ -188,10 +194,11 @@ def a18(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "file_versions").groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"))
 
 
-@query("d12_churn_windows", f"WITH {EVENTS} SELECT path, sum(added + deleted)::BIGINT AS lines_changed FROM ev GROUP BY path")
+@query("d12_churn_windows", f"WITH {EVENTS} SELECT path, (epoch_us(ts) // 604800000000) * 604800 AS start, sum(added + deleted)::BIGINT AS lines_changed FROM ev GROUP BY ALL")
 def d12(spark: SparkSession, sf: str) -> DataFrame:
     ev = _events(spark, sf)
-    return C.windowed_churn(ev.select("sha", "path", "added", "deleted"), ev.select("sha", "ts")).groupBy("path").agg(F.sum("lines_changed").alias("lines_changed"))
+    w = C.windowed_churn(ev.select("sha", "path", "added", "deleted"), ev.select("sha", "ts"))
+    return w.select("path", F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "lines_changed")
 
 
 @query("k14_without_ephemeral", "SELECT DISTINCT file_id, file_sha FROM file_versions WHERE NOT coalesce(ephemeral, false)")
@@ -205,16 +212,20 @@ def k14_status(spark: SparkSession, sf: str) -> DataFrame:
     return T.set_status(v, v.where("file_id % 3 = 0").select("file_id"), "done", F.col("created_at")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("k15_save_summaries", "SELECT name AS entity_id, chunk_type AS entity_type, max(start_line)::INT AS line FROM chunks WHERE name IS NOT NULL AND start_line IS NOT NULL GROUP BY name, chunk_type")
+@query("k15_save_summaries", "WITH c AS (SELECT name AS entity_id, chunk_type AS entity_type, max(start_line)::INT AS line FROM chunks WHERE name IS NOT NULL AND start_line IS NOT NULL GROUP BY ALL), n AS (SELECT name AS entity_id, chunk_type AS entity_type, max(start_line)::INT AS line FROM chunks WHERE name IS NOT NULL AND start_line > 40 GROUP BY ALL) SELECT c.entity_id, c.entity_type, coalesce(n.line, c.line + 1000) AS line, CASE WHEN n.line IS NULL THEN 'old' ELSE 'new' END AS source FROM c LEFT JOIN n USING (entity_id, entity_type)")
 def k15(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of all names is overwritten by the rows that start behind line 40, the latest of each name."""
     s = table(spark, sf, "chunks").where("name is not null and start_line is not null").select(F.col("start_line").alias("id"), F.col("name").alias("entity_id"), F.col("chunk_type").alias("entity_type"), F.timestamp_seconds("start_line").alias("updated_at"))
-    return T.save_summaries(s.limit(0), s).select("entity_id", "entity_type", F.col("id").cast("int").alias("line"))
+    old = T.latest(s, ["entity_id", "entity_type"], F.desc("id")).withColumns({"id": F.col("id") + 1_000, "source": F.lit("old")})
+    return T.save_summaries(old, s.where("id > 40").withColumn("source", F.lit("new"))).select("entity_id", "entity_type", F.col("id").cast("int").alias("line"), "source")
 
 
-@query("k11_vector_upsert", "SELECT collection, count(DISTINCT id) AS n FROM vectors WHERE embedding IS NOT NULL AND len(embedding) > 0 GROUP BY collection")
+@query("k11_vector_upsert", "WITH v AS (SELECT DISTINCT collection, id, len(embedding) AS n FROM vectors WHERE len(embedding) > 0), o AS (SELECT collection, id, max(n) AS n FROM v GROUP BY ALL), w AS (SELECT collection, id, max(n) AS n FROM v WHERE n = 64 GROUP BY ALL) SELECT collection, id, coalesce(w.n, o.n)::INT AS n, CASE WHEN w.n IS NULL THEN 'old' ELSE 'new' END AS source FROM o LEFT JOIN w USING (collection, id)")
 def k11(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "vectors").where("size(embedding) > 0").select("id", "collection", "chunk_type")
-    return T.upsert(v.limit(0), v, ["collection", "id"]).groupBy("collection").agg(F.countDistinct("id").alias("n"))
+    """A store of all vectors, rows without embedding dropped, is overwritten by those of full width."""
+    v = T.with_embedding(table(spark, sf, "vectors")).select("id", "collection", F.size("embedding").alias("n"))
+    old = T.latest(v, ["collection", "id"], F.desc("n")).withColumn("source", F.lit("old"))
+    return T.upsert(old, v.where("n = 64").withColumn("source", F.lit("new")), ["collection", "id"]).select("collection", "id", "n", "source")
 
 
 @query("f19_needs_update", "SELECT count(*) AS n FROM (SELECT DISTINCT id, sha256(content) AS h FROM chunks WHERE content IS NOT NULL) c WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT id, sha256(content) AS h FROM chunks WHERE content IS NOT NULL AND chunk_type = 'function') s WHERE s.id = c.id AND s.h = c.h)")
@@ -228,12 +239,13 @@ def f09(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").where("module_name is not null").select("module_name", X.last_segment(F.col("module_name")).alias("last")).distinct()
 
 
-@query("f12_range_codec", "SELECT id, '(' || start_line || ',0)-(' || end_line || ',0)' AS range FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL GROUP BY ALL")
+@query("f12_range_codec", "SELECT DISTINCT id, '(' || start_line || ',' || length(coalesce(name, '')) || ')-(' || end_line || ',' || level || ')' AS range, start_line AS a, length(coalesce(name, ''))::INT AS b, end_line AS c, level AS d FROM chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL AND level IS NOT NULL")
 def f12(spark: SparkSession, sf: str) -> DataFrame:
-    from srcweave.schema import range_text
+    from srcweave.schema import range_part, range_text
 
-    c = table(spark, sf, "chunks").where("start_line is not null and end_line is not null")
-    return c.select("id", range_text(F.col("start_line"), F.lit(0), F.col("end_line"), F.lit(0)).alias("range")).distinct()
+    c = table(spark, sf, "chunks").where("start_line is not null and end_line is not null and level is not null")
+    r = c.select("id", range_text(F.col("start_line"), F.length(F.coalesce("name", F.lit(""))), F.col("end_line"), F.col("level")).alias("range")).distinct()
+    return r.select("id", "range", *[range_part(F.col("range"), i).alias(n) for i, n in enumerate("abcd", 1)])
 
 
 @query("f14_language_alias", "SELECT DISTINCT language, CASE lower(trim(language)) WHEN 'golang' THEN 'go' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'cs' THEN 'csharp' WHEN 'c#' THEN 'csharp' ELSE CASE WHEN lower(trim(language)) IN ('go','python','java','javascript','typescript','csharp') THEN lower(trim(language)) END END AS canonical FROM chunks")
@@ -241,10 +253,14 @@ def f14(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").select("language", X.language_alias(F.col("language")).alias("canonical")).distinct()
 
 
-@query("f20_truncated", "SELECT count(*) AS n, sum(CASE WHEN length(content) > 200 THEN 1 ELSE 0 END)::BIGINT AS cut FROM chunks WHERE content IS NOT NULL")
+@query(
+    "f20_truncated",
+    """WITH c AS (SELECT DISTINCT id, content, substr(content, 1, 200) AS cut FROM chunks WHERE content IS NOT NULL), p AS (SELECT *, CASE WHEN contains(cut, chr(10)) THEN 200 - strpos(reverse(cut), chr(10)) END AS nl, CASE WHEN contains(cut, ' ') THEN 200 - strpos(reverse(cut), ' ') END AS sp FROM c)
+SELECT id, sha256(CASE WHEN length(content) <= 200 THEN content WHEN nl > 150 THEN substr(content, 1, nl) || chr(10) || '... (truncated)' WHEN sp > 150 THEN substr(content, 1, sp) || ' ... (truncated)' ELSE cut || '... (truncated)' END) AS text_hash FROM p""",
+)
 def f20(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "chunks").where("content is not null").select(X.truncate(F.col("content"), 200).alias("t"), F.col("content"))
-    return c.agg(F.count("*").alias("n"), F.sum((F.endswith("t", F.lit("... (truncated)")) & (F.col("t") != F.col("content"))).cast("int")).alias("cut"))
+    c = table(spark, sf, "chunks").where("content is not null").select("id", "content").distinct()
+    return c.select("id", X.sha256(X.truncate(F.col("content"), 200)).alias("text_hash"))
 
 
 @query("f23_globs", "SELECT DISTINCT path FROM files WHERE regexp_matches(path, '^(pkg|src)/(.*/)?[^/]*\\.go$')")

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -47,6 +48,16 @@ class Scratch:
         df.write.parquet(path)
         return path
 
+    def write_some(self, df: DataFrame) -> str | None:
+        """Like ``write``, but None if there were no rows; they are counted while they are written."""
+        seen = Observation()
+        path = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        n = seen.get.get("n")
+        if n or n is None and not self.read(df.schema, path).isEmpty():
+            return path
+        self.drop(path)
+        return None
+
     def read(self, schema: T.StructType, *paths: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
