@@ -203,3 +203,10 @@ def external_module(path: Column, language: Column) -> Column:
         .when(language.isin("typescript", "javascript"), hit("node_modules"))
         .otherwise(F.lit(False))
     )
+
+
+def lines_between(text: Column, first: Column, last: Column) -> Column:
+    """Lines first..last counted from 0, both included; a last line before 0 or behind the end is the end. Null if the first line is no line."""
+    lines = F.split(text, "\n", -1)
+    end = F.when((last < 0) | (last >= F.size(lines)), F.size(lines) - 1).otherwise(last)
+    return F.when((first >= 0) & (first < F.size(lines)) & (first <= end), F.array_join(F.slice(lines, first + 1, F.greatest(end - first + 1, F.lit(0))), "\n"))

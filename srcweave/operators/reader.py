@@ -78,6 +78,40 @@ def node_by_id(nodes: DataFrame, id_: int, *types: int) -> DataFrame:
     return hit.where(F.col("node_type").isin(*types)) if types else hit
 
 
+def class_in_module(nodes: DataFrame, edges: DataFrame, name: str, module: str) -> DataFrame:
+    """Classes of a name that a module of the other name contains."""
+    owner = nodes.where((F.col("node_type") == NODE_TYPES["ModuleScope"]) & (F.col("name") == module)).select(F.col("id").alias("src"))
+    inside = edges.where("label = 'CONTAINS'").join(owner, "src", "left_semi").select(F.col("dst").alias("id"))
+    return nodes.where((F.col("node_type") == NODE_TYPES["Class"]) & (F.col("name") == name)).join(inside, "id", "left_semi")
+
+
+def constructor_calls(nodes: DataFrame, file_id: int) -> DataFrame:
+    """Calls in a file that make an object."""
+    return nodes.where((F.col("node_type") == NODE_TYPES["FunctionCall"]) & (F.col("file_id") == file_id) & F.coalesce("is_constructor", F.lit(False)))
+
+
+def constructors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class_id, id, name): the constructors that each class contains."""
+    made = nodes.where((F.col("node_type") == NODE_TYPES["Function"]) & F.coalesce("is_constructor", F.lit(False))).select("id", "name")
+    owner = nodes.where(F.col("node_type") == NODE_TYPES["Class"]).select(F.col("id").alias("class_id"))
+    return edges.where("label = 'CONTAINS'").select(F.col("src").alias("class_id"), F.col("dst").alias("id")).distinct().join(made, "id").join(owner, "class_id", "left_semi")
+
+
+def classes_with_inheritance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(class_id, name, parents): every class with the sorted names of its direct parents."""
+    c = nodes.where(F.col("node_type") == NODE_TYPES["Class"]).select(F.col("id").alias("class_id"), "name")
+    up = edges.where("label = 'INHERITS'").select(F.col("src").alias("class_id"), F.col("dst").alias("id")).distinct().join(c.select(F.col("class_id").alias("id"), F.col("name").alias("parent")), "id")
+    return c.join(up.groupBy("class_id").agg(F.array_sort(F.collect_list("parent")).alias("parents")), "class_id", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+
+
+def exactly_one(df: DataFrame) -> DataFrame:
+    """The only row; none or several are an error."""
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise LookupError(f"wanted one row, found {'several' if rows else 'none'}")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def class_full(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every class with its sorted method and field names."""
     members = edges.where("label in ('CONTAINS', 'HAS_FIELD')").select(F.col("src").alias("class_id"), F.col("dst").alias("id")).distinct().join(nodes.select("id", "node_type", "name"), "id")

@@ -40,3 +40,8 @@ def in_range(line: Column, ch: Column, sl: Column, sc: Column, el: Column, ec: C
     """Closed, line-major: whether a point lies in a range."""
     at = F.struct(line.alias("l"), ch.alias("c"))
     return (at >= F.struct(sl.alias("l"), sc.alias("c"))) & (at <= F.struct(el.alias("l"), ec.alias("c")))
+
+
+def range_in_range(inner: tuple[Column, Column, Column, Column], outer: tuple[Column, Column, Column, Column]) -> Column:
+    """Closed, line-major: whether the first range lies in the second."""
+    return in_range(inner[0], inner[1], *outer) & in_range(inner[2], inner[3], *outer)

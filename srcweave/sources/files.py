@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from srcweave.functions.text import base_name, extension, hunk_field, language_of_path, rename_target
+from srcweave.functions.text import base_name, extension, hunk_field, language_alias, language_of_path, rename_target
 
 #: Fixed lists of what is never read.
 SKIP_DIRS = (".git", "node_modules", ".vscode", ".idea", "vendor", "target", "build", "dist", "__pycache__", ".pytest_cache", "coverage", "site-packages", ".next", ".nuxt", ".cache", "tmp", "temp")
@@ -18,6 +19,24 @@ SKIP_EXTENSIONS = (".exe", ".dll", ".so", ".dylib", ".a", ".o", ".obj", ".pyc",
 SKIP_PARTS = ("node_modules", "vendor", "target", "build", "dist", "__pycache__", ".pytest_cache", "coverage", "site-packages", ".next", ".nuxt", "bin", "obj", ".git")
 
 
+#: Parts of a path that a parser never reads, fixed values.
+PARSE_SKIP = (".git", "node_modules", ".vscode", ".idea", "vendor", "target", "build", "dist", "__pycache__", ".pytest_cache", "coverage", "site-packages")
+
+
+def parse_files(files: DataFrame, repos: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Files (repo, path, modified) that a parser has to read.
+
+    Left out are paths that hold a part of PARSE_SKIP or not the repository's ``test`` filter, files of unknown languages, of
+    other languages where the repository (name, language, test, skip_other_languages) asks for it, and those
+    in ``indexed`` (repo, path, modified) with the same time.
+    """
+    path, lang = F.col("path"), language_of_path(F.col("path"))
+    r = repos.select(F.col("name").alias("repo"), F.col("language").alias("_l"), F.col("test").alias("_t"), F.coalesce("skip_other_languages", F.lit(False)).alias("_s"))
+    use = files.join(r, "repo").where(lang.isNotNull() & ~F.greatest(*[F.contains(path, F.lit(p)) for p in PARSE_SKIP]))
+    use = use.where((F.coalesce("_t", F.lit("")) == "") | F.contains(path, F.col("_t"))).where(~F.col("_s") | (lang == language_alias(F.col("_l")))).drop("_l", "_t", "_s")
+    return use.join(indexed.select("repo", "path", "modified").distinct(), ["repo", "path", "modified"], "left_anti")
+
+
 def skip_directory(path: Column, names: tuple[str, ...] = SKIP_DIRS) -> Column:
     """Whether a folder on the way to the file is pruned by name or hidden."""
     folders = F.split(F.regexp_replace(path, "/?[^/]*$", ""), "/")
@@ -50,6 +69,32 @@ def git_info(repo: str) -> dict[str, object]:
     return {"root": git(repo, "rev-parse", "--show-toplevel").strip(), "head": git(repo, "rev-parse", "HEAD").strip(), "message": git(repo, "log", "-1", "--format=%s").strip(), "modified": {c.split(" -> ")[-1].strip('"') for c in changed}}
 
 
+def read_head(spark: SparkSession, repo: str, paths: list[str]) -> DataFrame:
+    """(path, content) at HEAD for unmodified tracked files, from the working tree for modified ones; untracked files are left out.
+
+    The repository's files are read on the driver and staged, as git has no reader on executors.
+    """
+    info = git_info(repo)
+    tracked = set(git(repo, "ls-tree", "-r", "--name-only", "HEAD").splitlines())
+    rows = []
+    for p in paths:
+        if p in tracked:
+            rows.append((p, open(f"{repo}/{p}", encoding="utf-8", errors="replace").read() if p in info["modified"] and os.path.exists(f"{repo}/{p}") else git(repo, "show", f"HEAD:{p}")))
+    return spark.createDataFrame(rows, "path string, content string")
+
+
+def log_lines(spark: SparkSession, repo: str, since: str | None = None) -> DataFrame:
+    """(n, value): the lines of the commit log with line counts, without merges, newest first, for ``parse_log``."""
+    args = ["log", "--no-merges", "--numstat", "--date=iso-strict", "--format=%H|%an|%ad", *([f"--since={since}"] if since else [])]
+    return spark.createDataFrame(list(enumerate(git(repo, *args).splitlines())), "n long, value string")
+
+
+def patch_lines(spark: SparkSession, repo: str, path: str) -> DataFrame:
+    """(path, n, value): the lines of all patches of one file over its renames, for ``parse_hunks``."""
+    out = git(repo, "log", "-p", "--follow", "--format=", "--", path).splitlines()
+    return spark.createDataFrame([(path, n, v) for n, v in enumerate(out)], "path string, n long, value string")
+
+
 def parse_log(lines: DataFrame, line_col: str = "value", order_col: str = "n") -> tuple[DataFrame, DataFrame]:
     """(commits, commit_files) of a log in the format ``hash|author|iso date`` with numstat lines below.
 
