@@ -73,3 +73,34 @@ def test_redaction_keeps_to_its_text(spark):
     texts = chunks.selectExpr("'chunk' AS place", "id AS record_id", "content AS text")
     assert [r["text"] for r in C.redact(texts, found).collect()] == ['password = "*********"\n']
     assert "value" not in found.columns
+
+
+def test_the_model_comes_from_all_candidates(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    words = "harbor river lexer patch summit copper meadow signal window button".split()
+    word = lambda: "".join(r.choice("abcdefghjkmnpqrstuvwxyz23456789" * 2 + "ABCDEFG") for _ in range(r.randint(5, 20)))
+    lines = [f'api_key = "{word()}"' if i % 3 else f'key_title = "{r.choice(words)} {r.choice(words)} {i}"' for i in range(24_000)]
+    chunks = spark.createDataFrame([(str(i), "\n".join(lines[i : i + 200]), "a.py") for i in range(0, len(lines), 200)], "id string, content string, file_path string")
+    settings = spark.createDataFrame([], "settings_id long, connectionstrings struct<defaultconnection string>, openweatherapi struct<apikey string>")
+    keys = sorted({(c.value, c.name, c.kind, "a.py") for x in lines for c in C.candidates(x)})
+    assert len(keys) > 20_000
+    labels = [C.weak_label(*k[:3]) for k in keys]
+    held = {tuple(x)[:4]: x[4] for x in spark.createDataFrame(keys, "v string, n string, k string, p string").select("*", F.pmod(F.xxhash64("v", "n", "k", "p"), F.lit(5)) == 4).collect()}
+    markov = C.Markov.of([w for k, y in zip(keys, labels) if y == 0 for w in C.plain_words(*k[:2])])
+    every = np.array([C.features(*k, markov) for k in keys])
+    out = np.array([held[k] for k in keys])
+    known = np.array([y is not None for y in labels])
+    y = np.array([y or 0 for y in labels], dtype=float)
+    fit, rest = known & ~out, known & out
+    w = C.newton(lambda w: C.moments(every[fit], y[fit], w), C.WIDTH)
+    z, t = np.column_stack([every[rest] @ w, np.ones(rest.sum())]), C.targets(y[rest], int(y[rest].sum()), int((1 - y[rest]).sum()))
+    w = C.calibrated(w, *C.newton(lambda c: C.moments(z, t, c), 2, 1e-6))
+    score = {k[0]: 1 / (1 + np.exp(-s)) for k, s in zip(keys, np.clip(every @ w, -30, 30))}
+    got = {(int(x["record_id"]) + x["line_no"]): x["score"] for x in C.credentials(chunks, settings, threshold=0.0).collect()}
+    assert len(got) == len(lines)
+    assert max(abs(score[C.candidates(x)[0].value] - got[i]) for i, x in enumerate(lines)) < 1e-6
