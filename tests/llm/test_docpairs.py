@@ -51,3 +51,48 @@ def test_deep_nesting_ends(spark, depth):
     rows = [(1, "A.java", None, text)]
     out = D.documented_functions(spark.createDataFrame(rows, "file_id int, file_path string, language string, content string")).collect()
     assert {r["name"] for r in out} >= {"first", "last"}
+
+
+JAVADOC, XMLDOC, GODOC, PYDOC = "/** Adds the given numbers up in their order. */\n", "/// <summary>Adds the given numbers up in their order.</summary>\n", "package p\n\n// Adds the given numbers up in their order.\n", '"""Adds the given numbers up in their order."""'
+
+
+@pytest.mark.parametrize(
+    "language, name, text",
+    [
+        ("java", "été", JAVADOC + "void été(int a) {\n}\n"),
+        ("java", "f", JAVADOC + "public /* x */ static\n  java.lang.@N String @M [] f() {\n}\n"),
+        ("java", "f", JAVADOC + '@A("""\n a "b" c\n""")\nvoid f() {\n}\n'),
+        ("java", "Point", "record Point(int a) {\n" + JAVADOC + "public Point {\n}\n"),
+        ("java", "f", JAVADOC + "@A(" + "(" * 300_000 + "1" + ")" * 300_000 + ")\nvoid f() {\n}\n"),
+        ("java", None, "enum E {\n" + JAVADOC + "Point {\n}\n"),
+        ("csharp", "Bar", XMLDOC + "void IFoo.Bar(int a) {\n}\n"),
+        ("csharp", "Bar", XMLDOC + "Task<int> A.IFoo<int>.Bar<T>(T a) where T : class => x;\n"),
+        ("csharp", "operator +", XMLDOC + "public static X operator +(X a, X b) {\n}\n"),
+        ("csharp", "operator Y", XMLDOC + "public static implicit operator Y(X a) => a;\n"),
+        ("csharp", "F", XMLDOC + "public ref readonly global::System.Int32 F(int x) {\n}\n"),
+        ("csharp", "F", XMLDOC + '[A(@"c:\\")]\npublic void F(int x) {\n}\n'),
+        ("csharp", "A", XMLDOC + "~A() {\n}\n"),
+        ("csharp", None, XMLDOC + "public int F => G(1);\n"),
+        ("javascript", "f", JAVADOC + "f: async function (a) {\n}\n"),
+        ("javascript", "f", JAVADOC + "A.prototype.f = (a) => {\n}\n"),
+        ("javascript", "f", JAVADOC + "f(a = /[)]/g, b = `x${`)`}`) {\n}\n"),
+        ("javascript", "f", "const r = /[/*]/;\n" + JAVADOC + "function f(a) {\n}\n"),
+        ("javascript", "f", "const r = `a ${b ? `http://x` : c} d`;\n" + JAVADOC + "function f(a) {\n}\n"),
+        ("javascript", None, "const r = `a ${b ? `\n" + JAVADOC + "function f(a) {}\n` : c} d`;\n"),
+        ("javascript", "f", "const r = `a ${ b\n" + JAVADOC + "function f(a) {\n}\n"),
+        ("javascript", "f", JAVADOC + "function f(a = " + "(" * 300_000 + "1" + ")" * 300_000 + ") {\n}\n"),
+        ("javascript", None, JAVADOC + "exports.f = g(1);\n"),
+        ("typescript", "f", JAVADOC + "const f = (a: number): { x: number } => {\n};\n"),
+        ("typescript", "f", JAVADOC + "private f: (a: T) => void = (a) => {\n}\n"),
+        ("typescript", None, JAVADOC + "f: (a: T) => void;\n"),
+        ("go", "Été", GODOC + "func Été /* x */ (a int) {\n}\n"),
+        ("python", "f", f'def f[T: (int, "]")](a: T) -> \\\n  T:\n    {PYDOC}\n'),
+        ("python", "f", 'def f(a):\n    "Adds the given " \\\n    "numbers up in their order."\n'),
+        ("python", "f", f"def f(a):\n    ({PYDOC})\n"),
+        ("python", None, f"def f(a):\n    {PYDOC}.format(a)\n"),
+        ("python", None, f"def f(a):\n    f{PYDOC}\n"),
+    ],
+)
+def test_no_function_is_left_out(language, name, text):
+    got = [n for _, n, _, raw in D.functions(language, text) if D.informative(D.plain(language, raw), n)]
+    assert got == ([name] if name else [])
