@@ -70,3 +70,22 @@ def test_a_query_set_is_searched_against_all(spark):
 def test_quantile_and_empty(spark):
     assert abs(N.chi2_quantile(0.95, 10) - 18.307) < 0.01
     assert N.similar_pairs(spark.createDataFrame([], "id string, collection string, embedding array<float>, leaf int")).count() == 0
+
+
+def test_points_of_a_visited_box_are_compared_at_full_width():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((60, 64)) + 4 * r.standard_normal(64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = x @ N.directions(64)
+    qi, xi, d2 = N.search(x, p, x, p, 60, np.full(60, 0.3), 0.01)
+    exact = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert set(zip(qi.tolist(), xi.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(exact <= 0.3)))) and len(qi) > 120
+    assert np.allclose(d2, exact[qi, xi], atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_usable(spark, kind):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [inf, 0.0]), ("d", [-inf, 0.0]), ("e", [nan, 1.0]), ("f", [None, 1.0]), ("g", [0.0, -0.0]), ("h", None), ("i", [1.0]), ("j", [None, None]), (None, [1.0, 1.0]), ("k", [nan, inf]), ("l", [None, -1.0]), ("m", [None, inf])]
+    v = spark.createDataFrame([(i, "c", e) for i, e in rows], f"id string, collection string, embedding array<{kind}>")
+    assert {r["id"] for r in N.usable(v, 2, "id", "collection", "embedding").collect()} == {"a", "b"}
