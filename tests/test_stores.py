@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from srcweave.operators import churn as C
@@ -78,6 +80,43 @@ def test_function_churn_shares_are_cut(spark):
     assert got == {1: (3, 1, 1), 2: (0, 0, 0)}
 
 
+def churn_by_pairs(functions, hunks):
+    out = {}
+    for fid, path, sl, el in functions:
+        hit = [h for h in hunks if None not in (path, sl, el, h[2], h[3], h[4]) and h[2] == path and sl <= h[3] + h[4] and h[3] <= el]
+        share = lambda h, x: int(x * ((min(el, h[3] + h[4]) - max(sl, h[3])) / h[4])) if h[4] > 0 else 0  # noqa: B023, E731
+        out[fid] = (sum(share(h, h[5]) for h in hit if h[5] is not None), sum(share(h, h[6]) for h in hit if h[6] is not None), len({h[0] for h in hit} - {None}), len({h[1] for h in hit} - {None}))
+    return out
+
+
+FUNCTIONS, HUNKS = "id long, path string, sl int, el int", "sha string, author string, path string, new_start int, new_count int, added int, deleted int"
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_function_churn_as_by_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW", few)
+    rnd = random.Random(5)
+    f = [(i, rnd.choice("pqr"), s := rnd.randrange(300), s + rnd.choice((-6, 0, 3, 20, 90, 250))) for i in range(200)]
+    f += [(1000, None, 1, 9), (1001, "p", None, 9), (1002, "p", 1, None), (1003, "none", 1, 9), (1004, "p", 0, 400)]
+    h = [(rnd.choice((None, *(f"c{i}" for i in range(60)))), rnd.choice((None, "x", "y", "z", *(f"u{i}" for i in range(40)))), rnd.choice("pq"), rnd.randrange(330), rnd.choice((0, 0, 1, 5, 12, 70, 200)), rnd.choice((None, 0, 7, 333)), rnd.randrange(50)) for _ in range(400)]
+    h += [(f"one{i}", "x", "p", rnd.randrange(330), 9, 5, 5) for i in range(50)] + [("n", "x", None, 1, 5, 5, 5), ("n", "x", "p", None, 5, 5, 5), ("n", "x", "p", 1, None, 5, 5), ("n", "neg", "p", 90, -40, 5, 5)]
+    for hunks in (h, [x for x in h if (x[0] or "").startswith("one")], []):
+        got = C.function_churn(spark.createDataFrame(f, FUNCTIONS), spark.createDataFrame(hunks, HUNKS)).collect()
+        assert {r["id"]: (r["lines_added"], r["lines_deleted"], r["commit_count"], r["author_count"]) for r in got} == churn_by_pairs(f, hunks) and len(got) == len(f)
+
+
+def test_function_churn_shuffles_no_pairs(spark):
+    store = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    stages = lambda: [x for s in [store()] for x in map(s.apply, range(s.size()))]
+    before = max((x.stageId() for x in stages()), default=-1)
+    f = [(i, "p", 10, 20 + i % 3) for i in range(300)]
+    h = [(f"c{i}", f"a{i}", "p", 12 + i % 5, 6, 4, 2) for i in range(300)]
+    got = C.function_churn(spark.createDataFrame(f, FUNCTIONS), spark.createDataFrame(h, HUNKS)).collect()
+    assert {(r["commit_count"], r["author_count"]) for r in got} == {(300, 300)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > before) < 10_000  # of 90,000 pairs
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", [0.0, 0.0]), ("e", None), ("f", [1.0])], "id string, embedding array<float>")
     hits = V.top_k(v, [[1.0, 0.0], [0.0, 1.0]], 2)
